@@ -81,8 +81,8 @@ def long_rows(records: DataFrame, fields: tuple[Field, ...], group: str, key: st
     return grouped.select(F.col(group).alias("grp"), F.col(key).alias("id"), F.col(when).alias("at"), F.explode(F.array(*each)).alias("x")).select("grp", "id", "at", "x.*")
 
 
-def without_beginnings(values: DataFrame) -> DataFrame:
-    """Drops a value that is just the beginning of a longer one of the same group and field.
+def mark_beginnings(values: DataFrame) -> DataFrame:
+    """Adds ``beginning``: whether a value is just the beginning of a longer one of the same group and field.
 
     ``values`` has (grp, field, value, cuttable, ...) with distinct values. In byte order the first longer value that
     begins with v comes right after v, so one look at the next row decides. Values of at least HEAD characters are
@@ -94,7 +94,7 @@ def without_beginnings(values: DataFrame) -> DataFrame:
     head = F.substring("value", 1, HEAD)
     order = Window.partitionBy("grp", "field", head).orderBy("value")
     marked = values.withColumn("next", F.when(F.col("cuttable") & (F.length("value") >= HEAD), F.lead("value").over(order)))
-    return marked.where(~F.coalesce(F.startswith("next", "value"), F.lit(False))).drop("next")
+    return marked.withColumn("beginning", F.coalesce(F.startswith("next", "value"), F.lit(False))).drop("next")
 
 
 def short_beginnings(values: DataFrame) -> DataFrame:
@@ -121,12 +121,10 @@ def choose_strict(records: DataFrame, fields: tuple[Field, ...] = FIELDS, group:
     """
     vote = F.struct(F.coalesce("trust", F.lit(float("-inf"))).alias("trust"), F.coalesce("at", F.lit("0001-01-01").cast("timestamp_ntz")).alias("at"), (-F.col("id")).alias("least"))
     values = long_rows(records, fields, group, key, when).groupBy("grp", "field", "cuttable", "value").agg(F.max(vote).alias("best"), F.count("*").alias("n"))
-    kept = without_beginnings(values)
-    cut_short = short_beginnings(values).withColumn("short", F.lit(True))
-    kept = kept.join(cut_short, ["grp", "field", "value"], "left")
-    usable = F.col("value").isNotNull() & F.col("short").isNull()
+    marked = mark_beginnings(values).join(short_beginnings(values).withColumn("short", F.lit(True)), ["grp", "field", "value"], "left")
+    usable = F.col("value").isNotNull() & ~F.col("beginning") & F.col("short").isNull()
     return (
-        kept.groupBy("grp", "field")
+        marked.groupBy("grp", "field")
         .agg(F.max(F.when(usable, F.col("best"))).alias("best"), F.sum("n").alias("n"))
         .where("n >= 2 and best is not null")
         .select(F.col("grp"), F.col("field").alias("field_name"), (-F.col("best.least")).alias("id"))
