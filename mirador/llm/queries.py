@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import table
-from . import leaks, site_lines, survivor, tokenize
+from . import leaks, residue, site_lines, survivor, tokenize
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -26,6 +26,10 @@ def p2_record(spark: SparkSession, d: str) -> DataFrame:
     return survivor.choose_summed(table(spark, d, "entities"), as_of="2026-01-01")
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return residue.find_residue(residue.evidence_and_entities(table(spark, d, "evidence"), table(spark, d, "entities")))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenize.encode_documents(table(spark, d, "documents"))
 
@@ -34,5 +38,5 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return leaks.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_cleaned, p2_found, p2_record, p8_ids, p9_found)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_cleaned, p2_found, p2_record, p6_found, p8_ids, p9_found)}
 SQL: dict[str, str] = {}
