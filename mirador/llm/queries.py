@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import table
-from . import leaks, residue, site_lines, survivor, tokenize
+from . import cutoff, leaks, residue, site_lines, survivor, tokenize
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -38,5 +38,13 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return leaks.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_cleaned, p2_found, p2_record, p6_found, p8_ids, p9_found)}
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return cutoff.find_cut(table(spark, d, "documents"))
+
+
+def p10_rates(spark: SparkSession, d: str) -> DataFrame:
+    return cutoff.cut_rates(table(spark, d, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_cleaned, p2_found, p2_record, p6_found, p8_ids, p9_found, p10_found, p10_rates)}
 SQL: dict[str, str] = {}
