@@ -26,6 +26,8 @@ UNKNOWN = (
     "sense dades", "sense descripcio", "no disponible ara", "pendent", "desconegut", "desconeguda", "proximamente", "coming soon",
 )
 ACCENTED, PLAIN = "áàâäãåéèêëíìîïóòôöõúùûüñç", "aaaaaaeeeeiiiiooooouuuunc"
+#: White space to trim, and the longest value that may be a mere statement.
+BLANKS, STATEMENT = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000", 60
 #: Rows of one group that share this many first characters are compared for beginnings in one task.
 HEAD = 64
 
@@ -51,9 +53,14 @@ def folded(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.translate(F.lower(c), ACCENTED, PLAIN), r"[^\p{L}\p{N}]+", " "))
 
 
+def trimmed(c: Column) -> Column:
+    return F.btrim(c, F.lit(BLANKS))
+
+
 def stripped(c: Column) -> Column:
     """Without outer blanks and a closing ellipsis."""
-    return F.regexp_replace(F.regexp_replace(c, r"(?U)^\s+|\s+$", ""), r"(?U)\s*(?:…|\.{3,})+$", "")
+    t = trimmed(c)
+    return F.when(F.endswith(t, F.lit("…")) | F.endswith(t, F.lit("...")), trimmed(F.regexp_replace(t, r"(?U)\s*(?:…|\.{3,}|\s)+$", ""))).otherwise(t)
 
 
 def usable_value(field: Field) -> Column:
@@ -66,9 +73,10 @@ def usable_value(field: Field) -> Column:
         lat, lng = c["lat"], c["lng"]
         ok = ~F.isnan(lat) & ~F.isnan(lng) & lat.between(-90, 90) & lng.between(-180, 180) & ((lat != 0) | (lng != 0))
         return F.when(ok, F.concat_ws(",", lat.cast("string"), lng.cast("string")))
-    value = stripped(c) if field.kind == "description" else F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
-    key = folded(c)
-    return F.when((key != "") & ~key.isin(*UNKNOWN) & (value != ""), value)
+    value = stripped(c) if field.kind == "description" else trimmed(c)
+    # Statements are short, so only short values are folded.
+    empty = (value == "") | (F.length(value) <= STATEMENT) & folded(value).isin("", *UNKNOWN)
+    return F.when(~empty, value)
 
 
 def long_rows(records: DataFrame, fields: tuple[Field, ...], group: str, key: str, when: str) -> DataFrame:
