@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import table
-from . import addresses, cutoff, leaks, residue, site_lines, survivor, tokenize
+from . import addresses, boilerplate, cutoff, leaks, residue, site_lines, survivor, tokenize
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -30,6 +30,10 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return addresses.same_address(table(spark, d, "entities"), table(spark, d, "city_centers"))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return boilerplate.find_boilerplate(boilerplate.whole_pages(table(spark, d, "content_blocks"), table(spark, d, "evidence")))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return residue.find_residue(residue.evidence_and_entities(table(spark, d, "evidence"), table(spark, d, "entities")))
 
@@ -50,5 +54,5 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
     return cutoff.cut_rates(table(spark, d, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_cleaned, p2_found, p2_record, p4_found, p6_found, p8_ids, p9_found, p10_found, p10_rates)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_cleaned, p2_found, p2_record, p4_found, p5_found, p6_found, p8_ids, p9_found, p10_found, p10_rates)}
 SQL: dict[str, str] = {}
