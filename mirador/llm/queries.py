@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import table
-from . import addresses, boilerplate, cutoff, leaks, residue, site_lines, survivor, tokenize
+from . import addresses, boilerplate, cutoff, leaks, matching, residue, site_lines, survivor, tokenize
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -26,6 +26,14 @@ def p2_record(spark: SparkSession, d: str) -> DataFrame:
     return survivor.choose_summed(table(spark, d, "entities"), as_of="2026-01-01")
 
 
+def p3_matches(spark: SparkSession, d: str) -> DataFrame:
+    return matching.match_records(table(spark, d, "entities"), table(spark, d, "kb_entities"), table(spark, d, "city_centers"))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return p3_matches(spark, d).select("entity_id", "kb_id").distinct()
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return addresses.same_address(table(spark, d, "entities"), table(spark, d, "city_centers"))
 
@@ -54,5 +62,5 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
     return cutoff.cut_rates(table(spark, d, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_cleaned, p2_found, p2_record, p4_found, p5_found, p6_found, p8_ids, p9_found, p10_found, p10_rates)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_cleaned, p2_found, p2_record, p3_found, p3_matches, p4_found, p5_found, p6_found, p8_ids, p9_found, p10_found, p10_rates)}
 SQL: dict[str, str] = {}
