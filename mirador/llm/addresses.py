@@ -113,20 +113,21 @@ class Parser:
         return " ".join(w for w in regex.findall(r"[a-z0-9]+", fold(name)) if w not in LINKS)
 
     def _find(self, words: list[str], exact, near: dict[str, set[tuple[str, str]]]) -> tuple[int, int, str] | None:
-        """The longest run of words that is a place; first as written, then within one edit."""
-        for fuzzy in (False, True):
-            for n in range(min(self.most, len(words)), 0, -1):
-                for i in range(len(words) - n, -1, -1):
-                    run = [w for w in words[i : i + n] if w not in LINKS]
-                    if not run or words[i] in LINKS or words[i + n - 1] in LINKS or "|" in words[i : i + n] or "#" in run:
-                        continue
-                    if not fuzzy:
-                        if (key := " ".join(run)) in exact:
-                            return i, i + n, key
-                    else:
-                        hits = {k for x in {"".join(run), "".join(words[i : i + n])} if len(x) > 5 for d in deletions(x) for form, k in near.get(d, ()) if one_edit(x, form)}
-                        if len(hits) == 1:
-                            return i, i + n, hits.pop()
+        """The longest run of words that is a place as written; else a part (between bars) within one edit of a place."""
+        kept = [(i, w) for i, w in enumerate(words) if w not in LINKS]
+        for n in range(min(self.most, len(kept)), 0, -1):
+            for k in range(len(kept) - n, -1, -1):
+                if (key := " ".join([w for _, w in kept[k : k + n]])) in exact:
+                    return kept[k][0], kept[k + n - 1][0] + 1, key
+        i = 0
+        for part in " ".join(words).split("|"):
+            run = part.split()
+            if run and len(run) <= self.most + 2 and run[0] not in self.kinds:
+                forms = {"".join(run), "".join(w for w in run if w not in LINKS)}
+                hits = {k for x in forms if len(x) > 5 for d in deletions(x) for form, k in near.get(d, ()) if one_edit(x, form)}
+                if len(hits) == 1:
+                    return i, i + len(run), hits.pop()
+            i += len(run) + 1
         return None
 
     def parse(self, address: str | None) -> tuple[str, str, str, str] | None:
