@@ -30,6 +30,15 @@ def text(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
 
+#: White space of all kinds.
+BLANKS = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def strip(c: Column) -> Column:
+    """Without outer white space of any kind."""
+    return F.btrim(text(c), F.lit(BLANKS))
+
+
 def compact(c: Column) -> Column:
     """Runs of white space become one blank; trimmed."""
     return F.trim(F.regexp_replace(text(c), r"(?U)\s+", " "))
@@ -129,7 +138,7 @@ def relevant_text(name: Column, c: Column) -> Column:
 
 def merge_text(current: Column, incoming: Column) -> Column:
     """Adds a text to another: copies, parts of it and navigation are left out, what contains it replaces it."""
-    a, b = F.trim(text(current)), F.trim(text(incoming))
+    a, b = strip(current), strip(incoming)
     return (
         F.when(b == "", a)
         .when(a == "", F.when(is_boilerplate(b), a).otherwise(b))

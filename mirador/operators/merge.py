@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import dims
-from ..functions.text import fold_texts, key, strip_articles, text
+from ..functions.text import fold_texts, key, strip, strip_articles, text
 
 
 def name_key(name: Column, articles: tuple[str, ...] = dims.MERGE_ARTICLES) -> Column:
@@ -66,7 +66,7 @@ def accumulated_text(evidence: DataFrame, by: str = "entity_id", order: str = "e
 
     Adding depends on the order, so an entity's texts meet in one row; copies are dropped before.
     """
-    texts = evidence.where(F.trim("text") != "").groupBy(by, F.trim("text").alias("text")).agg(F.min(order).alias("at"))
+    texts = evidence.withColumn("text", strip(F.col("text"))).where("text <> ''").groupBy(by, "text").agg(F.min(order).alias("at"))
     ordered = texts.groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "text"))), lambda x: x["text"]).alias("texts"))
     return ordered.select(by, fold_texts(F.col("texts")).alias("text"))
 
