@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import dims
-from .text import key, text, word_count
+from .text import key, let, text, word_count
 from .urls import domain, path
 
 
@@ -63,25 +63,30 @@ def _found(haystack: Column, name_key: Column) -> tuple[Column, Column]:
 
 def url_score(url: Column, name_key: Column) -> Column:
     """100 if the path has the whole name; 50 for a name of one word, 40 and the words' number for two or more."""
-    h = url_words(url)
-    hits, n = _found(h, name_key)
-    # A name of one word counts itself a second time, as its own compound.
-    hits = hits + F.when((n == 0) & ~F.contains(name_key, F.lit(" ")) & F.contains(h, name_key), 1).otherwise(0)
-    whole = F.contains(F.replace(h, F.lit(" "), F.lit("")), F.replace(name_key, F.lit(" "), F.lit("")))
-    return F.when((h == "") | (name_key == ""), 0).when(whole, 100).when((n <= 1) & (hits > 0), 50).when((n > 1) & (hits >= 2), 40 + hits).otherwise(0)
+
+    def of(h: Column) -> Column:
+        hits, n = _found(h, name_key)
+        # A name of one word counts itself a second time, as its own compound.
+        hits = hits + F.when((n == 0) & ~F.contains(name_key, F.lit(" ")) & F.contains(h, name_key), 1).otherwise(0)
+        whole = F.contains(F.replace(h, F.lit(" "), F.lit("")), F.replace(name_key, F.lit(" "), F.lit("")))
+        return F.when((h == "") | (name_key == ""), 0).when(whole, 100).when((n <= 1) & (hits > 0), 50).when((n > 1) & (hits >= 2), 40 + hits).otherwise(0)
+
+    return let(url_words(url), of)
 
 
 def alt_score(alt: Column, name_key: Column) -> Column:
     """95 if the caption has the whole name; 45 for its one word, 35 and the words' number for enough of them."""
-    h = key(alt)
-    hits, n = _found(h, name_key)
-    return F.when((h == "") | (name_key == ""), 0).when(F.contains(h, name_key), 95).when(n == 0, 0).when(hits >= F.least(F.lit(2), n), 35 + hits).otherwise(0)
+
+    def of(h: Column) -> Column:
+        hits, n = _found(h, name_key)
+        return F.when((h == "") | (name_key == ""), 0).when(F.contains(h, name_key), 95).when(n == 0, 0).when(hits >= F.least(F.lit(2), n), 35 + hits).otherwise(0)
+
+    return let(key(alt), of)
 
 
 def context_score(context: Column, name_key: Column) -> Column:
     """How many of the name's words the image's surroundings hold; 0 if these are long."""
-    h = key(context)
-    return F.when(word_count(h) > 200, 0).otherwise(_found(h, name_key)[0])
+    return let(key(context), lambda h: F.when(word_count(h) > 200, 0).otherwise(_found(h, name_key)[0]))
 
 
 def fits(url: Column, name_key: Column) -> Column:
@@ -90,8 +95,7 @@ def fits(url: Column, name_key: Column) -> Column:
 
 def slug_words(url: Column, name_key: Column) -> Column:
     """How many of the name's longer words the path holds."""
-    h = url_words(url)
-    return F.size(F.filter(F.array_distinct(F.split(name_key, " ")), lambda w: (F.length(w) >= 4) & F.contains(h, w)))
+    return let(url_words(url), lambda h: F.size(F.filter(F.array_distinct(F.split(name_key, " ")), lambda w: (F.length(w) >= 4) & F.contains(h, w))))
 
 
 def cleaned(images: Column, name_key: Column, most: int = 10) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import dims
-from .text import key, plain, text, word_count
+from .text import key, let, plain, text, word_count
 from .urls import authority, listing, segments
 
 
@@ -62,26 +62,27 @@ def quality(name: Column, lat: Column, wikidata: Column, url: Column, source_url
 
 
 def navigation_block(title: Column, body: Column) -> Column:
-    t, b = key(title), key(body)
-    n = word_count(b)
-    marks = F.size(F.filter(F.array(*map(F.lit, dims.NAVIGATION_MARKERS)), lambda m: F.contains(b, m)))
-    return t.isin(*dims.NAVIGATION_TITLES) & (n <= 35) | (marks >= 2) & (n <= 80) | (F.regexp_count(b, F.lit("saber mas")) >= 2)
+    def of(b: Column) -> Column:
+        n = word_count(b)
+        marks = F.size(F.filter(F.array(*map(F.lit, dims.NAVIGATION_MARKERS)), lambda m: F.contains(b, m)))
+        return key(title).isin(*dims.NAVIGATION_TITLES) & (n <= 35) | (marks >= 2) & (n <= 80) | (F.regexp_count(b, F.lit("saber mas")) >= 2)
+
+    return let(key(body), of)
 
 
 def noise_block(body: Column) -> Column:
-    b = key(body)
-    out = F.contains(b, F.lit(dims.NOISE_MARKERS[0]))
-    for m in dims.NOISE_MARKERS[1:]:
-        out = out | F.contains(b, F.lit(m))
-    return out
+    return let(key(body), lambda b: F.exists(F.array(*map(F.lit, dims.NOISE_MARKERS)), lambda m: F.contains(b, m)))
 
 
 def tourist_reasons(title: Column, body: Column, images: Column) -> Column:
     """Up to six signals that a block is about a place, in order; last that it has images and text."""
-    k = key(F.concat_ws(" ", text(title), text(body)))
-    found = F.filter(F.array(*map(F.lit, sorted(dims.TOURIST_SIGNALS))), lambda s: F.contains(k, s))
-    pictures = F.when((images > 0) & (word_count(k) >= 8), F.array(F.lit("imagenes_en_bloque"))).otherwise(F.array().cast("array<string>"))
-    return F.slice(F.concat(found, pictures), 1, 6)
+
+    def of(k: Column) -> Column:
+        found = F.filter(F.array(*map(F.lit, sorted(dims.TOURIST_SIGNALS))), lambda s: F.contains(k, s))
+        pictures = F.when((images > 0) & (word_count(k) >= 8), F.array(F.lit("imagenes_en_bloque"))).otherwise(F.array().cast("array<string>"))
+        return F.slice(F.concat(found, pictures), 1, 6)
+
+    return let(key(F.concat_ws(" ", text(title), text(body))), of)
 
 
 def suspect_address(address: Column) -> Column:

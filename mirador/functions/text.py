@@ -25,6 +25,11 @@ def _folding() -> tuple[str, str]:
 FOLD_FROM, FOLD_TO = _folding()
 
 
+def let(c: Column, f) -> Column:
+    """``f(c)`` with ``c`` computed once per row, also where ``f`` uses it within a lambda."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
 def text(c: Column) -> Column:
     """Null means missing, as '' does."""
     return F.coalesce(c, F.lit(""))
@@ -156,10 +161,14 @@ def fold_texts(texts: Column) -> Column:
 
 def source_text_score(c: Column, name: Column) -> Column:
     """How well a text serves as the source text of a name: it names it, and is short."""
-    t, k = key(c), key(name)
-    hits = F.size(F.filter(F.split(k, " "), lambda w: (F.length(w) >= 4) & F.contains(t, w)))
-    n = word_count(t)
-    return F.when((k != "") & F.contains(t, k), 100).otherwise(0) + hits * 10 + F.when(n <= 120, 50).when(n <= 250, 20).when(n > 450, -60).otherwise(0)
+    k = key(name)
+
+    def score(t: Column) -> Column:
+        hits = F.size(F.filter(F.split(k, " "), lambda w: (F.length(w) >= 4) & F.contains(t, w)))
+        n = word_count(t)
+        return F.when((k != "") & F.contains(t, k), 100).otherwise(0) + hits * 10 + F.when(n <= 120, 50).when(n <= 250, 20).when(n > 450, -60).otherwise(0)
+
+    return let(key(c), score)
 
 
 def phone(c: Column) -> Column:

@@ -252,17 +252,20 @@ def title_entities(pages: DataFrame, as_of: Column) -> DataFrame:
     """(page_id, name, type, start, end): pages whose title names one place: a keyword settles its type, or it is a dated event page."""
     from .. import dims
     from ..functions.dates import event_dates
-    from ..functions.text import first_title_segment, has_keyword, key
+    from ..functions.text import first_title_segment, has_keyword, key, let
     from ..functions.urls import segments
     from .classify import name_type
 
     name = first_title_segment(F.col("title"))
     k = key(name)
     array = F.array(*[F.struct(F.lit(a).alias("keyword"), F.lit(t).alias("type"), F.lit(i).alias("ord")) for i, (a, t) in enumerate(dims.TYPE_KEYWORDS)])
-    hits = F.filter(array, lambda x: has_keyword(k, x["keyword"]))
-    # Of the types with most keywords in the name the one whose keyword comes first.
-    ranked = F.transform(hits, lambda x: F.struct((-F.size(F.filter(hits, lambda y: y["type"] == x["type"]))).alias("n"), F.array_min(F.transform(F.filter(hits, lambda y: y["type"] == x["type"]), lambda y: y["ord"])).alias("o"), x["type"].alias("t")))
-    by_word = F.array_min(ranked)["t"]
+
+    def best(hits: Column) -> Column:
+        # Of the types with most keywords in the name the one whose keyword comes first.
+        same = lambda x: F.filter(hits, lambda y: y["type"] == x["type"])
+        return F.array_min(F.transform(hits, lambda x: F.struct((-F.size(same(x))).alias("n"), F.array_min(F.transform(same(x), lambda y: y["ord"])).alias("o"), x["type"].alias("t"))))["t"]
+
+    by_word = let(let(k, lambda one: F.filter(array, lambda x: has_keyword(one, x["keyword"]))), best)
     own = F.coalesce(F.nullif(name_type(k), F.lit("")), by_word)
     body = text(F.col("main_text")) if "main_text" in pages.columns else F.lit("")
     event = F.arrays_overlap(segments(F.col("url")), F.array(*map(F.lit, dims.EVENT_SEGMENTS))) & F.rlike(body, F.lit(r"(?i)fecha\s+de\s+inicio"))
