@@ -31,7 +31,7 @@ def classifiable(ontology: DataFrame) -> DataFrame:
 def page_links(pages: DataFrame, home: str | None = None, lang: str = "") -> DataFrame:
     """(url, link): links in (url, html), made absolute and normal, on the site, followable, in the language; each once a page."""
     hrefs = F.explode(F.regexp_extract_all("html", F.lit(r"""href=["']([^"'#][^"']*)["']"""), 1))
-    raw = pages.select("url", F.trim(hrefs).alias("h")).where("h <> ''").where(~F.rlike("h", F.lit(r"^(?:mailto:|tel:|javascript:|#)")))
+    raw = pages.select("url", hrefs.alias("h")).select("url", F.trim("h").alias("h")).where("h <> ''").where(~F.rlike("h", F.lit(r"^(?:mailto:|tel:|javascript:|#)")))
     full = raw.select("url", normalize(absolute(F.col("h"), F.col("url"))).alias("link")).where("link is not null")
     own = domain(F.lit(home)) if home else domain(F.col("url"))
     return full.where((domain(F.col("link")) == own) & ~skipped(F.col("link")) & ~foreign_language(F.col("link"), lang)).distinct()

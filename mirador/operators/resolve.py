@@ -75,7 +75,7 @@ def resolve(kb: DataFrame, new: DataFrame, kb_id: str, new_id: str, threshold: f
     """(id, base, tier, score): each incoming entity, in the order of its id, and the entity that it is found to be.
 
     Tiers: exact_key and name_key (a row of the knowledge base), similar (the best score at or above the threshold, of the
-    base or of an entity added before), added (it is its own base). Whether an incoming entity can join an earlier incoming
+    base or of an entity added before), added (it is its own base). Incoming rows of one key follow the first of them. Whether an incoming entity can join an earlier incoming
     one depends on whether that one was added; the rows are decided in rounds, each settling all rows whose earlier
     candidates are settled, which gives what deciding one by one would, in as many rounds as the longest chain. Signals are
     those of the rows themselves: they don't drift as rows are merged.

@@ -108,7 +108,7 @@ def sitemap_urls(robots: DataFrame, sitemaps: DataFrame, home: str, lang: str =
     out = None
     for level in range(most_levels):
         m = sitemaps.join(named, "url")
-        urls = m.where(~F.contains("xml", F.lit("sitemapindex"))).select(normalize(F.replace(loc, F.lit("&amp;"), F.lit("&"))).alias("url"), F.lit(level).alias("level"))
+        urls = m.where(~F.contains("xml", F.lit("sitemapindex"))).select(loc.alias("loc")).select(normalize(F.replace("loc", F.lit("&amp;"), F.lit("&"))).alias("url"), F.lit(level).alias("level"))
         out = urls if out is None else out.unionByName(urls)
         named = m.where(F.contains("xml", F.lit("sitemapindex"))).select(loc.alias("url"))
     return out.where(F.col("url").isNotNull() & (domain(F.col("url")) == domain(F.lit(home))) & ~skipped(F.col("url")) & ~foreign_language(F.col("url"), lang))
