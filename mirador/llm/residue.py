@@ -219,7 +219,7 @@ def find_residue(texts: DataFrame) -> DataFrame:
     Missing, empty and blank texts are no case. Prose counts cover all given rows, whatever their length; the tables sent
     to the tasks have 2^BITS entries. Repeated rows are each judged; with unique ids none comes out twice.
     """
-    present = texts.where(F.trim("text") != "").select("table_name", "record_id", "text")
+    present = texts.where(F.col("text").rlike(r"(?U)\S")).select("table_name", "record_id", "text")
     prose = gram_counts(present)
     models = Models(prose)
 
