@@ -8,9 +8,10 @@ words (cut within a word). Where the word is whole, the corpus tells whether tex
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
+import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -22,12 +23,13 @@ from ..sources.tables import cut
 LIMIT_SHARE, LIMIT_ROWS = 0.03, 5
 #: A context ends whole texts if this share of its occurrences (the text's own left out) ends a line or, before dots, a sentence.
 END_SHARE = 0.25
-#: Contexts a task holds before it hands them on.
-HOLD = 400_000
+#: Tokens a task counts before it hands the counts on.
+HOLD = 4_000_000
 #: A last line or sentence of at most so many tokens is looked up whole. Sizes this near the limit may be cut at the last word.
 LINE, SOFT = 6, 15
-_TOKEN = regex.compile(r"(?:https?://|www\.)\S+|[\w.+-]+@[\w.-]+\w|\p{L}[\p{L}\p{M}]*|[0-9]+|\n|[^\s\p{L}0-9]")
-_EOL = regex.compile(r"\s*[\r\n\x0b\x0c\x85  ]\s*")
+_TOKEN = regex.compile(r"\p{L}[\p{L}\p{M}]*|[0-9]+|\n|[^\s\p{L}0-9]")
+_ADDRESS = regex.compile(r"(?:https?://|www\.)\S+|[\w.+-]+@[\w.-]+\w")
+_EOL = regex.compile(r"\s*[\r\n\x0b\x0c\x85\u2028\u2029]\s*")
 #: What may follow a break: signs of going on, broken characters, tags and entities.
 _MARK = regex.compile(
     r"(?:[\[(]\s*(?:\+|…|\.{2,3}|sigue|contin[uú]a|cont\.?|m[aá]s|more|suite|segueix|\+\s*info|leer m[aá]s|read more|lire la suite|llegir m[eé]s)\s*[\])]"
@@ -36,33 +38,77 @@ _MARK = regex.compile(
 )
 _DOTS = regex.compile(r"\s*(?:…|\.{2,})\s*$")
 _WHOLE = regex.compile(r"[.!?][\"'»”’)\]*_]*$")
-_STOP = frozenset(".!?…")
-_FIRST = frozenset(".!?…\n¿¡«")
-_JOINS = frozenset(("de", "del", "d", "of"))
-_BREAK = _STOP | {"\n"}
+#: Token classes: plain words and signs, words with a capital, words that join the parts of a name, ends of sentences, of lines, and
+#: signs after which a capital says nothing.
+PLAIN, CAPITAL, JOIN, STOP, LINE_END, OPENING = range(6)
+_OF = {**{c: STOP for c in ".!?…"}, "\n": LINE_END, **{c: OPENING for c in "¿¡«"}, **{w: JOIN for w in ("de", "del", "d", "of")}}
+
+
+def _code(t: str) -> int:
+    """A number for a token that is the same in every process, never 0."""
+    return (zlib.crc32(t.encode("utf-8", "surrogatepass")) << 20 ^ len(t)) + 1
+
+
+NAME, NUMBER, EDGE, ADDRESS = (_code(x) for x in ("<N>", "<0>", "<edge>", "<U>"))
+NEWLINE = _code("\n")
+
+
+class Vocabulary(dict):
+    """token -> position in ``codes`` and ``classes``; both grow as tokens come."""
+
+    def __init__(self):
+        self.words: list[str] = []
+        self.codes: list[int] = []
+        self.classes: list[int] = []
+
+    def __missing__(self, t: str) -> int:
+        k = self[t] = len(self.words)
+        self.words.append(t)
+        self.codes.append(NUMBER if t[0] in "0123456789" else ADDRESS if t == "\uffff" else _code(t))
+        self.classes.append(_OF.get(t, CAPITAL if t[0].isupper() else PLAIN))
+        return k
 
 
 def tokens(text: str) -> list[str]:
-    return _TOKEN.findall(_EOL.sub("\n", text))
-
-
-def masked(raw: list[str], names: dict[str, str]) -> list[str]:
-    """Words with a capital within a sentence are N, numbers 0, addresses U; names of several parts are one N."""
-    out, before = [], "\n"
-    for t in raw:
-        m = names.get(t)
-        if m is None:
-            m = "0" if t[0] in "0123456789" else "U" if len(t) > 3 and ("://" in t or "@" in t) else "N" if t[0].isupper() else t
-            if len(names) < 300_000:
-                names[t] = m
-        if m == "N" and before in _FIRST:
-            m = t
-        if m == "N" and before in _JOINS and len(out) > 1 and out[-2] == "N":
-            out.pop()
-        elif m != "N" or before != "N":
-            out.append(m)
-        before = m
-    return out
+    if "\n" in text or "\r" in text or "\u2028" in text or "\x85" in text or "\x0b" in text or "\x0c" in text:
+        text = _EOL.sub("\n", text)
+    if "@" in text or "://" in text or "www." in text:
+        text = _ADDRESS.sub("\uffff", text)
+    return _TOKEN.findall(text)
+
+
+def masked(codes: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens' codes with names as one sign, and which of the tokens stay: names of several parts are one.
+
+    A capital counts as a name unless it begins a sentence or line.
+    """
+    before = np.concatenate([[LINE_END], classes[:-1]])
+    name = (classes == CAPITAL) & (before != STOP) & (before != LINE_END) & (before != OPENING)
+    m = np.where(name, NAME, codes)
+    keep = np.ones(len(m), bool)
+    keep[1:] &= ~(name[1:] & name[:-1])
+    joined = name[2:] & (classes[1:-1] == JOIN) & name[:-2]
+    keep[2:] &= ~joined
+    keep[1:-1] &= ~joined
+    return m, keep
+
+
+_M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
+
+
+def _mix(h: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The hash of a sequence with one more token."""
+    h = (h ^ x.astype(np.uint64)) * _M1
+    h ^= h >> np.uint64(32)
+    h *= _M2
+    return h ^ (h >> np.uint64(29))
+
+
+def chain(parts: list[np.ndarray]) -> np.ndarray:
+    h = np.full(len(parts[0]), _M3, np.uint64)
+    for x in parts:
+        h = _mix(h, x)
+    return h.astype(np.int64)
 
 
 def tail(text: str) -> tuple[str, bool, bool]:
@@ -78,51 +124,96 @@ def tail(text: str) -> tuple[str, bool, bool]:
     return core, marks, dots
 
 
+def tally(keys: np.ndarray, stops: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Per distinct key how often it occurs, and before the end of a sentence and of a line."""
+    if not keys.size:
+        return keys, keys, keys, keys
+    order = np.argsort(keys, kind="stable")
+    k = keys[order]
+    first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+    return k[first], np.diff(np.append(first, len(k))), np.add.reduceat(stops[order].astype(np.int64), first), np.add.reduceat(ends[order].astype(np.int64), first)
+
+
 def corpus_statistics(docs: DataFrame) -> DataFrame:
-    """(kind, k, n, stops, ends): how often a word (kind w), a context of three masked tokens (c) or the beginning of a line or
-    sentence up to LINE masked tokens (l) occurs within texts, is followed by the end of a sentence, and by the end of a line. The last
-    word of a text counts for nothing here, so that a cut word does not become known.
+    """(kind, word, k, n, stops, ends): how often a word (kind w), a context of three or two masked tokens (c, d) or the beginning of a
+    line or sentence up to LINE masked tokens (l) occurs within texts, is followed by the end of a sentence, and by the end of a
+    line. Contexts are known by their hash. The last word of a text counts for nothing here, so that a cut word does not
+    become known.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names: dict[str, str] = {}
-        words: Counter = Counter()
-        three: Counter = Counter()
-        lines: Counter = Counter()
-
-        def hand_on() -> pa.RecordBatch:
-            by: dict[tuple[str, str], list[int]] = {}
-            for kind, seen in (("w", words), ("c", three), ("l", lines)):
-                for (*k, d), n in seen.items():
-                    if kind == "w" and not k[0].isalpha():
-                        continue
-                    x = by.setdefault((kind, " ".join(k)), [0, 0, 0])
-                    x[0] += n
-                    x[1] += n if d in _STOP else 0
-                    x[2] += n if d == "\n" else 0
-                seen.clear()
-            rows = [(*k, *x) for k, x in by.items()]
-            cols = list(zip(*rows)) if rows else [[]] * 5
-            return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()))], names=["kind", "k", "n", "stops", "ends"])
+        held: dict[str, list[tuple[np.ndarray, ...]]] = {"c": [], "d": [], "l": []}
+        words: dict[str, list[int]] = {}
+        size = 0
+
+        def rows(kind: str, k: np.ndarray, n, stops, ends, word=None) -> pa.RecordBatch:
+            m = len(n)
+            return pa.RecordBatch.from_arrays([pa.array([kind] * m), pa.array(word if word is not None else [None] * m, pa.string()), pa.array(k, pa.int64()), *[pa.array(x, pa.int64()) for x in (n, stops, ends)]], names=["kind", "word", "k", "n", "stops", "ends"])
+
+        def hand_on() -> Iterator[pa.RecordBatch]:
+            for kind, parts in held.items():
+                if parts:
+                    k, n, st, en = (np.concatenate(x) for x in zip(*parts))
+                    order = np.argsort(k, kind="stable")
+                    k = k[order]
+                    first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+                    yield rows(kind, k[first], *[np.add.reduceat(x[order], first) for x in (n, st, en)])
+                parts.clear()
+            if words:
+                w = list(words)
+                yield rows("w", [None] * len(w), *zip(*words.values()), word=w)
+            words.clear()
 
         for b in batches:
-            for t in b.column(0).to_pylist():
-                raw = tokens(tail(t)[0])
-                m = masked(raw, names)
-                words.update(zip(raw, raw[1:]))
-                m[:0] = ["\n", "\n"]
-                three.update(zip(m, m[1:], m[2:], m[3:]))
-                at = [i for i, x in enumerate(m) if x in _BREAK] + [len(m)]
-                for i, j in zip(at, at[1:]):
-                    if j > i + 1:
-                        line = tuple(m[i + 1 : min(j + 1, i + LINE + 2)])
-                        lines.update(line[:k] for k in range(2, len(line) + 1))
-            if len(three) + len(words) + len(lines) > HOLD:
-                yield hand_on()
-        yield hand_on()
-
-    rows = docs.select("text").mapInArrow(run, "kind string, k string, n bigint, stops bigint, ends bigint")
-    return rows.groupBy("kind", "k").agg(*[F.sum(c).alias(c) for c in ("n", "stops", "ends")])
+            for lo in range(0, b.num_rows, 1000):
+                v = Vocabulary()
+                flat: list[int] = []
+                edge = v["\n"]
+                for t in b.column(0).slice(lo, 1000).to_pylist():
+                    # Two line ends set a text apart, so no context reaches over it: -1 marks where it ends.
+                    flat += [edge, edge, *[v[x] for x in tokens(tail(t)[0])], -1]
+                at = np.array(flat, np.int64)
+                end = at == -1
+                at[end] = edge
+                codes, classes = np.array(v.codes, np.int64)[at], np.array(v.classes, np.int8)[at]
+                codes[end] = 0
+                # Words: all but the last of each text.
+                open_ = np.concatenate([end[1:], [False]]) | end
+                nxt = np.concatenate([classes[1:], [LINE_END]])
+                inside = np.flatnonzero(~open_)
+                k, n, st, en = tally(at[inside], nxt[inside] == STOP, nxt[inside] == LINE_END)
+                for i, *x in zip(k, n, st, en):
+                    w = v.words[i]
+                    if w[0].isalpha():
+                        o = words.setdefault(w, [0, 0, 0])
+                        for j in range(3):
+                            o[j] += int(x[j])
+                m, keep = masked(codes, classes)
+                keep |= end
+                m, c, e = m[keep], classes[keep], end[keep]
+                # Contexts are followed by a token of the same text.
+                last = np.flatnonzero(~e[2:-1] & ~e[3:] & ~e[1:-2] & ~e[:-3]) + 2 if len(m) > 3 else np.zeros(0, np.int64)
+                stops, ends = c[last + 1] == STOP, c[last + 1] == LINE_END
+                held["c"].append(tally(chain([m[last - 2], m[last - 1], m[last]]), stops, ends))
+                held["d"].append(tally(chain([m[last - 1], m[last]]), stops, ends))
+                start = np.flatnonzero(((c[:-1] == STOP) | (c[:-1] == LINE_END)) & ~e[:-1]) + 1
+                h, alive = np.full(len(start), _M3, np.uint64), np.ones(len(start), bool)
+                for k in range(LINE):
+                    p = start + k
+                    alive &= p < len(m) - 1
+                    p = np.minimum(p, len(m) - 2)
+                    alive &= ~e[p] & (c[p] != STOP) & (c[p] != LINE_END)
+                    h = _mix(h, m[p])
+                    ok = alive & ~e[p + 1]
+                    held["l"].append(tally(h[ok].astype(np.int64), c[p[ok] + 1] == STOP, c[p[ok] + 1] == LINE_END))
+                size += len(m)
+                if size > HOLD:
+                    yield from hand_on()
+                    size = 0
+        yield from hand_on()
+
+    rows = docs.select("text").mapInArrow(run, "kind string, word string, k bigint, n bigint, stops bigint, ends bigint")
+    return rows.groupBy("kind", "word", "k").agg(*[F.sum(c).alias(c) for c in ("n", "stops", "ends")])
 
 
 def tails(docs: DataFrame) -> DataFrame:
@@ -133,23 +224,28 @@ def tails(docs: DataFrame) -> DataFrame:
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names: dict[str, str] = {}
         for b in batches:
+            v = Vocabulary()
             out = []
             for t in b.column(2).to_pylist():
                 core, marks, dots = tail(t)
-                raw = tokens(core[-600:])
-                m = ["\n"] * (LINE + 1) + masked(raw, names)
-                word = raw[-1] if raw and raw[-1].isalpha() else ""
-                last = next((m[-k:] for k in range(1, LINE + 1) if m[-k - 1] in _BREAK and m[-1] not in _BREAK), [])
-                line = " ".join(last)
+                near = core[-300:]
+                raw = tokens(near)
+                at = np.array([v["\n"]] * 3 + [v[x] for x in raw], np.int64)
+                codes, classes = np.array([v.codes[i] for i in at], np.int64), np.array([v.classes[i] for i in at], np.int8)
+                m, keep = masked(codes, classes)
+                m, c = m[keep], classes[keep]
+                word = raw[-1] if raw and raw[-1][0].isalpha() else ""
+                start = next((k for k in range(1, LINE + 1) if len(m) > k and c[-k - 1] in (STOP, LINE_END)), 0)
+                line = int(chain([m[-k : len(m) - k + 1] for k in range(start, 0, -1)])[0]) if start and c[-1] not in (STOP, LINE_END) else None
+                c3, c2 = (int(chain([m[len(m) - k : len(m) - k + 1] for k in range(n, 0, -1)])[0]) for n in (3, 2))
                 end = int.from_bytes(hashlib.blake2b(core[-200:].encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
-                out.append((bool(_WHOLE.search(core[-12:])), marks, dots, bool(core), word, " ".join(m[-3:]), line, end))
-            cols = list(zip(*out)) if out else [[]] * 8
-            types = (*[pa.bool_()] * 4, *[pa.string()] * 3, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), *[pa.array(list(c), t) for c, t in zip(cols, types)]], names=["id", "source", "size", "whole", "marks", "dots", "core", "word", "c3", "line", "end"])
+                out.append((bool(_WHOLE.search(core[-12:])), marks, dots, bool(core), word, c3, c2, line, end))
+            cols = list(zip(*out)) if out else [[]] * 9
+            types = (*[pa.bool_()] * 4, pa.string(), *[pa.int64()] * 4)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), *[pa.array(list(c), t) for c, t in zip(cols, types)]], names=["id", "source", "size", "whole", "marks", "dots", "core", "word", "c3", "c2", "line", "end"])
 
-    schema = f"id {kind}, source string, size int, whole boolean, marks boolean, dots boolean, core boolean, word string, c3 string, line string, end bigint"
+    schema = f"id {kind}, source string, size int, whole boolean, marks boolean, dots boolean, core boolean, word string, c3 bigint, c2 bigint, line bigint, end bigint"
     return docs.select("id", "source", "text", F.length("text").alias("size")).mapInArrow(run, schema)
 
 
@@ -157,10 +253,10 @@ def judged(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str
     """(id, source, cut) for every text that is not missing or blank."""
     named = docs.select(F.col(key).alias("id"), F.coalesce(F.col(source), F.lit("")).alias("source"), F.col(text).alias("text")).where(F.col("text").rlike(r"(?U)\S"))
     stats = cut(corpus_statistics(named))
-    ends = cut(tails(named).withColumn("c2", F.substring_index("c3", " ", -2)))
+    ends = cut(tails(named))
 
     # The trie of the vocabulary as a table of its nodes: a proper prefix of a known word is a node with children.
-    words = stats.where("kind = 'w'").select(F.col("k").alias("word"), F.col("n").alias("nw"), (F.col("stops") + F.col("ends")).alias("ew"))
+    words = stats.where("kind = 'w'").select("word", F.col("n").alias("nw"), (F.col("stops") + F.col("ends")).alias("ew"))
     prefixes = F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda i: F.substring("word", F.lit(1), i))
     nodes = words.where(F.length("word") > 1).select(F.explode(prefixes).alias("word")).distinct().withColumn("inner", F.lit(True))
     asked = ends.where("word <> ''").select("word").distinct()
@@ -170,12 +266,10 @@ def judged(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str
     open_ends = ends.where("not whole and not marks").select("c3", "c2", "line", "dots", "end").distinct()
 
     def context(level: str, inside: DataFrame) -> DataFrame:
-        own = open_ends.where(F.col(level) != "").groupBy(level).agg(F.count_distinct(F.when(~F.col("dots"), F.col("end"))).alias("bare"), F.count_distinct(F.when(F.col("dots"), F.col("end"))).alias("dotted"))
+        own = open_ends.where(F.col(level).isNotNull()).groupBy(level).agg(F.count_distinct(F.when(~F.col("dots"), F.col("end"))).alias("bare"), F.count_distinct(F.when(F.col("dots"), F.col("end"))).alias("dotted"))
         return own.join(inside, level, "left").select(level, F.struct(*[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in ("n", "stops", "ends", "bare", "dotted")]).alias(f"of_{level}"))
 
-    three = stats.where("kind = 'c'").select(F.col("k").alias("c3"), "n", "stops", "ends")
-    two = three.groupBy(F.substring_index("c3", " ", -2).alias("c2")).agg(*[F.sum(c).alias(c) for c in ("n", "stops", "ends")])
-    lines = stats.where("kind = 'l'").select(F.col("k").alias("line"), "n", "stops", "ends")
+    three, two, lines = (stats.where(F.col("kind") == k).select(F.col("k").alias(c), "n", "stops", "ends") for k, c in (("c", "c3"), ("d", "c2"), ("l", "line")))
 
     # A source's limit is its largest size, if many of its texts have just this (hard) or nearly this (soft).
     sizes = cut(ends.groupBy("source", "size").agg(F.count("*").alias("m")))
@@ -195,10 +289,10 @@ def judged(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str
         return F.when(all_ > 0, ends_ / all_)
 
     # A whole short line that others have too decides first, then the longer context.
-    ending = F.coalesce(F.when(F.col("line") != "", share("line")), share("c3"), share("c2"), F.lit(0.0))
+    ending = F.coalesce(F.when(F.col("line").isNotNull(), share("line")), share("c3"), share("c2"), F.lit(0.0))
     word = F.col("word") != ""
     within = word & F.col("nw").isNull() & F.col("inner").isNotNull()
-    never = word & (F.col("nw") >= 10) & (F.col("ew") < 0.01 * F.col("nw")) & ~(F.coalesce(F.when(F.col("line") != "", share("line")), F.lit(0.0)) >= END_SHARE)
+    never = word & (F.col("nw") >= 10) & (F.col("ew") < 0.01 * F.col("nw")) & ~(F.coalesce(F.when(F.col("line").isNotNull(), share("line")), F.lit(0.0)) >= END_SHARE)
     hard = F.coalesce(F.col("hard") & (F.col("size") == F.col("limit")), F.lit(False))
     soft = F.coalesce(F.col("soft") & (F.col("size") >= F.col("limit") - SOFT), F.lit(False))
     breaks = within | F.coalesce(never, F.lit(False)) | hard | (ending < F.when(F.col("dots") & soft, F.lit(0.9)).otherwise(END_SHARE))
