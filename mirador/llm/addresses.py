@@ -41,8 +41,10 @@ WORDS = {
 #: Statements that there is no address.
 NOTHING = frozenset(("", "n/d", "n/a", "nd", "na", "s/d", "-", ".", "sin direccion", "direccion no disponible", "no disponible", "consultar", "direccion desconocida", "desconocida", "pendiente", "sin datos", "no consta", "null", "none", "por determinar", "not available"))
 LINKS = frozenset(("de", "del", "la", "las", "el", "los", "d", "l", "y", "i", "a", "of", "the"))
-COUNTRIES = r"\b(?:espana|spain|espanya|espagne)\b"
-_NO = r"(?:s\s*/\s*n(?:um|o)?\b\.?|\bs\.\s*n\.?(?!\w)|\bsn\b\.?|\bsin\s+n(?:umero|um)?\b\.?)"
+_LADY = regex.compile(r"\bn\.?\s?a\.?\s+s\.?\s?a\b\.?")
+_PARTS = regex.compile(r"\b(?:espana|spain|espanya|espagne)\b|[(),;]|\s[-–—·|/](?=\s)")
+_PIECE = regex.compile(r"\||[a-z0-9/.']+")
+_NO = regex.compile(r"(?:s\s*/\s*n(?:um|o)?\b\.?|\bs\.\s*n\.?(?!\w)|\bsn\b\.?|\bsin\s+n(?:umero|um)?\b\.?)")
 _FLOOR = regex.compile(
     r"\b(?:piso|planta|pta|puerta|local|loc|bloque|blq|bl|esc|escalera|oficina|of|portal|despacho|apto|apartamento|nave|modulo|entresuelo|entlo|atico|sotano)\b\.?\s*(?:n\.?o\.?\s*)?(?:\d{1,3}|[a-h])?\b(?:\.?[oa]\b)?(?:\s*[-,]?\s*(?:[a-h]|izq(?:da|uierda)?|dcha|derecha|centro)\b\.?)?"
     r"|\b\d{1,2}\s*\.?\s*[oa]\.?\s*(?:planta|piso|izq(?:da|uierda)?|dcha|derecha|pta|puerta|[a-h])\b\.?|\b\d{1,2}\.[oa]\b\.?"
@@ -51,7 +53,7 @@ _FLOOR = regex.compile(
 _NUMBER = regex.compile(r"(?:\b(?:numero|num|nro|no|n)\b[\s.]*(?:o\b\.?\s*)?|\bn\.?\s?o\.?\s*|#\s*)?\b(\d{1,4})\b\s*(bis|ter|dup)?\b")
 _MARKED = regex.compile(r"(?:\b(?:numero|num|nro)\b[\s.]*|\bn\s*\.?\s*o?\s*\.?\s*|\bno\s*\.?\s*|#\s*)(\d{1,4})\b\s*(bis|ter|dup)?\b")
 _POSTCODE = regex.compile(r"(?<!\d)\d{5}(?!\d)")
-_NAME = regex.compile(r"[a-z0-9/.']+")
+_ALNUM = regex.compile(r"[a-z0-9]+")
 
 
 def fold(text: str) -> str:
@@ -91,7 +93,7 @@ class Parser:
             key = self.place(city)
             self.cities[key] = key
             # Names one edit away, by their deletions; names two places could have meant are left out.
-            for form in {key, "".join(regex.findall(r"[a-z0-9]+", fold(city)))}:
+            for form in {key, "".join(_ALNUM.findall(fold(city)))}:
                 for d in deletions(form.replace(" ", "")) if len(key) > 5 else ():
                     self.near.setdefault(d, set()).add((form.replace(" ", ""), key))
             if province:
@@ -110,7 +112,7 @@ class Parser:
         self.most = max((len(k.split()) for k in [*self.cities, *self.provinces]), default=1) + 2
 
     def place(self, name: str) -> str:
-        return " ".join(w for w in regex.findall(r"[a-z0-9]+", fold(name)) if w not in LINKS)
+        return " ".join(w for w in _ALNUM.findall(fold(name)) if w not in LINKS)
 
     def _find(self, words: list[str], exact, near: dict[str, set[tuple[str, str]]]) -> tuple[int, int, str] | None:
         """The longest run of words that is a place as written; else a part (between bars) within one edit of a place."""
@@ -135,22 +137,20 @@ class Parser:
         t = fold(address or "")
         if t.strip(" .,;-") in NOTHING or t in NOTHING:
             return None
-        t = regex.sub(COUNTRIES, " | ", t)
-        t = regex.sub(r"\bn\.?\s?a\.?\s+s\.?\s?a\b\.?", "nuestra senora", t)
-        t = regex.sub(r"[(),;]|\s[-–—·|/]\s", " | ", t)
+        t = _PARTS.sub(" | ", _LADY.sub("nuestra senora", t))
         code = ""
         if m := _POSTCODE.search(t):
             code = m[0]
             t = t[: m.start()] + " | " + t[m.end() :]
         number = None
-        if m := regex.search(_NO, t):
+        if m := _NO.search(t):
             number = "sn"
             t = t[: m.start()] + " | " + t[m.end() :]
         t = _FLOOR.sub(" | ", t)
         if number is None and (m := _MARKED.search(t) or _NUMBER.search(t)):
             number = m[1].lstrip("0") + (m[2] or "")
             t = t[: m.start()] + " | " + t[m.end() :]
-        words = [w if w == "|" else w.strip("./'") for w in regex.findall(r"\||[a-z0-9/.']+", t.replace("c/", "c/ "))]
+        words = [w if w == "|" else w.strip("./'") for w in _PIECE.findall(t.replace("c/", "c/ "))]
         words = [w for w in words if w]
         words = [WORDS.get(w, w) if i and w in ("s", "st", "sta", "sto") else w for i, w in enumerate(words)]
         city = ""
