@@ -90,3 +90,42 @@ def candidate_ids(entities: DataFrame, searches: DataFrame, city: str = "", most
     q = entities.select("entity_id", F.posexplode(queries).alias("q", "query")).where("query is not null").withColumn("query", compact(F.col("query")))
     hits = q.join(searches, "query").select("entity_id", (F.col("q") * 100 + F.col("pos")).alias("o"), F.array("qid").alias("ids"))
     return ordered_distinct(hits, ["entity_id"], "ids", "o", "qids").select("entity_id", F.slice("qids", 1, most).alias("qids"))
+
+
+def label_matches(names: DataFrame, labels: DataFrame) -> DataFrame:
+    """Of (entity_id, name, qid) those whose identifier's labels (qid, label) share a longer word with the name; identifiers without labels
+    and names without such words pass."""
+    from .. import dims
+    from ..functions.text import key
+
+    all_ = labels.groupBy("qid").agg(F.array_join(F.collect_set(key(F.col("label"))), " ").alias("hay"))
+    n = names.withColumn("w", F.filter(F.split(key(F.col("name")), " "), lambda x: (F.length(x) >= 3) & ~x.isin(*dims.LABEL_STOPWORDS)))
+    j = n.join(all_, "qid", "left")
+    return j.where(F.col("hay").isNull() | (F.size("w") == 0) | F.exists("w", lambda x: F.contains(F.col("hay"), x))).select("entity_id", "name", "qid")
+
+
+def wikidata_facts(docs: DataFrame) -> DataFrame:
+    """(qid, p31, parent, label, image) of (qid, doc): the classes, the first parent class, the label in es or en, the picture's file name."""
+    v = F.try_parse_json("doc")
+    value = "struct<mainsnak:struct<datavalue:struct<value:{}>>>"
+    ids = lambda p: F.filter(F.transform(F.coalesce(F.try_variant_get(v, f"$.claims.{p}", f"array<{value.format('struct<id:string>')}>"), F.array().cast(f"array<{value.format('struct<id:string>')}>")), lambda c: c["mainsnak"]["datavalue"]["value"]["id"]), lambda q: text(q) != "")
+    pick = lambda p: F.coalesce(F.nullif(F.try_variant_get(v, f"$.{p}.es.value", "string"), F.lit("")), F.try_variant_get(v, f"$.{p}.en.value", "string"), F.lit(""))
+    picture = F.try_variant_get(v, "$.claims.P18[0].mainsnak.datavalue.value", "string")
+    return docs.select("qid", ids("P31").alias("p31"), F.get(ids("P279"), F.lit(0)).alias("parent"), pick("labels").alias("label"), pick("descriptions").alias("description"), picture.alias("image"))
+
+
+def reverse_geocoded(entities: DataFrame, lookups: DataFrame) -> DataFrame:
+    """(entity_id, address): missing addresses from (lat, lng, address), looked up by coordinates of five decimals."""
+    at = lambda c: F.round(c, 5)
+    l = lookups.groupBy(at(F.col("lat")).alias("y"), at(F.col("lng")).alias("x")).agg(F.min("address").alias("found"))
+    e = entities.withColumns({"y": at(F.col("coordinates.lat")), "x": at(F.col("coordinates.lng"))})
+    return e.join(l, ["y", "x"], "left").select("entity_id", F.when(text(F.col("address")) != "", F.col("address")).otherwise(text(F.col("found"))).alias("address"))
+
+
+def first_lookup(queries: DataFrame, results: DataFrame, cities: DataFrame) -> DataFrame:
+    """(entity_id, lat, lng): of (entity_id, pos, query, city) and (query, rank, lat, lng, importance) the first result of the first query that lies within
+    its city's radius and matters enough."""
+    c = cities.select(F.col("name").alias("city"), F.col("lat").alias("clat"), F.col("lng").alias("clng"), "radius_km")
+    j = queries.join(results, "query").join(F.broadcast(c), "city")  # the known cities
+    good = j.where((F.coalesce("importance", F.lit(0.6)) >= 0.05) & (distance_km(F.col("lat"), F.col("lng"), F.col("clat"), F.col("clng")) <= F.col("radius_km")))
+    return good.groupBy("entity_id").agg(F.min_by(F.struct("lat", "lng"), F.struct("pos", "rank")).alias("b")).select("entity_id", "b.lat", "b.lng")

@@ -143,3 +143,50 @@ def envelope(payloads: DataFrame) -> DataFrame:
 def stamped(evidence: DataFrame, page: Column) -> DataFrame:
     """Evidence with its page filled in where it is missing."""
     return evidence.withColumn("page_url", F.coalesce(F.nullif("page_url", F.lit("")), page))
+
+
+def checked_items(items: DataFrame, dti: str | None = None, inline: bool = False, drop: str | None = None) -> DataFrame:
+    """(pos, item, valid) of (pos, item), JSON texts to send: with another ``dti``, objects inlined (no uri and externalId beside an
+    ``object``), a key dropped at any depth. Valid items have a query and variables; sending is left to the caller."""
+    import json
+    from collections.abc import Iterator
+
+    import pyarrow as pa
+
+    def walk(x):
+        if isinstance(x, list):
+            return [walk(y) for y in x]
+        if isinstance(x, dict):
+            gone = {drop} | ({"uri", "externalId"} if inline and "object" in x else set())
+            return {k: walk(y) for k, y in x.items() if k not in gone}
+        return x
+
+    def one(raw: str | None) -> tuple[str | None, bool]:
+        try:
+            x = walk(json.loads(raw or ""))
+        except ValueError:
+            return raw, False
+        if not isinstance(x, dict):
+            return raw, False
+        if dti and isinstance(x.setdefault("variables", {}), dict):
+            x["variables"]["dti"] = dti
+        return json.dumps(x, ensure_ascii=False), bool(x.get("query") and x.get("variables"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            done = [one(r) for r in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([d[0] for d in done], pa.string()), pa.array([d[1] for d in done], pa.bool_())], names=["pos", "item", "valid"])
+
+    return items.select(F.col("pos").cast("bigint"), "item").mapInArrow(run, "pos bigint, item string, valid boolean")
+
+
+def prompts(pages: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(page_id, prompt): what a language model would be asked about a page, as JSON: its fields, 25 images, 15 blocks of 400 characters.
+
+    The limits are the prompt's own; nothing is sent."""
+    from pyspark.sql import Window
+
+    b = blocks.where((text(F.col("title")) != "") | (F.size("images") > 0)).withColumn("n", F.row_number().over(Window.partitionBy("page_id").orderBy("position", "block_uid"))).where("n <= 15")
+    body = b.groupBy("page_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "title", F.substring("text", 1, 400).alias("text")))), lambda x: F.struct(x["title"].alias("title"), x["text"].alias("text"))).alias("blocks"))
+    images = F.transform(F.slice("images", 1, 25), lambda i: F.struct(i["url"].alias("url"), i["alt"].alias("alt")))
+    return pages.join(body, "page_id", "left").select("page_id", F.to_json(F.struct("url", "title", "description", "language", images.alias("images"), "blocks")).alias("prompt"))

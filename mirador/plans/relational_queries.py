@@ -367,3 +367,46 @@ def html_parse(spark, d):
     html = F.concat(F.lit('<html lang="'), esc(F.col("language")), F.lit('"><head><title>'), esc(F.col("title")), F.lit("</title></head><body><nav><a href='/x'>x</a></nav>"), T.text(F.col("body")), F.lit("</body></html>"))
     parsed = H.parse(p.select(F.col("page_id").cast("string").alias("url"), html.alias("html")))
     return parsed.select(F.col("url").cast("bigint").alias("page_id"), "title", "language", F.size("blocks").cast("bigint").alias("articles"))
+
+
+@query(f"""with v as (select e.evidence_id, e.entity_id, e.source_type, e.url, e.metadata from evidence e where entity_id in (select entity_id from entities)),
+g as (select entity_id, arg_min(metadata.address, evidence_id) filter (where {S.t('metadata.address')} <> '') a, arg_min(metadata.phone, evidence_id) filter (where {S.t('metadata.phone')} <> '') p from v group by 1),
+u as (select entity_id, url, min(evidence_id) i from v where source_type not in ('page', 'page_block') and {S.t('url')} <> '' group by 1, 2),
+r as (select entity_id, unnest(relatedUrls) url, generate_subscripts(relatedUrls, 1) - 1000000 i from entities union all select entity_id, url, i from u), d as (select entity_id, url, min(i) i from r where {S.t('url')} <> '' group by 1, 2),
+x as (select entity_id, string_agg(url, '|' order by i) x from d group by 1)
+select e.entity_id, coalesce(x, '') as related, coalesce(nullif(e.address, ''), a, '') as address, coalesce(nullif(e.phone, ''), p, '') as phone from entities e left join g on e.entity_id = g.entity_id left join x on e.entity_id = x.entity_id""")
+def consolidate_evidence(spark, d):
+    from ..operators.consolidate import consolidated
+
+    return consolidated(table(spark, d, "entities"), table(spark, d, "evidence")).select("entity_id", F.array_join("relatedUrls", "|").alias("related"), "address", "phone")
+
+
+@query(f"""select entity_id, {S.clean_name('name')} as name, case when {S.t('address')} <> '' and {S.words(S.compact('address'))} <= 10 and length(address) <= 120 then address else '' end as address,
+ case when {S.clean_content('shortDescription')} <> '' then {S.clean_content('shortDescription')} else substr({S.clean_content('description')}, 1, 300) end as short, case when {S.clean_content('longDescription')} <> '' then {S.clean_content('longDescription')} else {S.clean_content('description')} end as long from entities""")
+def normalize_entities(spark, d):
+    from ..operators.consolidate import normalized
+
+    return normalized(table(spark, d, "entities")).select("entity_id", "name", "address", F.col("shortDescription").alias("short"), F.col("longDescription").alias("long"))
+
+
+@query(f"select evidence_id, coalesce(nullif(e.page_url, ''), url) as page_url from evidence e")
+def stamp_pages(spark, d):
+    return X.stamped(table(spark, d, "evidence"), F.col("url")).select("evidence_id", "page_url")
+
+
+@query()
+def page_prompts(spark, d):
+    """JSON texts; the tests look into them."""
+    return X.prompts(table(spark, d, "crawl_pages"), table(spark, d, "content_blocks"))
+
+
+@query("select site, title, published, url from (select site, coalesce(trim(regexp_replace(title, '\\s+', ' ', 'g')), '') t, title, strftime(fetched_at, '%Y-%m-%d') as published, url, fetched_at from crawl_pages where title is not null and not regexp_matches(title, '[<>&]') and title <> '') where fetched_at >= timestamp '2024-01-01'")
+def rss_cutoff(spark, d):
+    """Pages are written as feeds, an item a page, and read back with a cutoff."""
+    from ..sources.formats import articles
+
+    p = table(spark, d, "crawl_pages").where("title <> '' and not rlike(title, '[<>&]')")
+    item = F.concat(F.lit("<item><title>"), "title", F.lit("</title><link>"), F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit("</link><pubDate>"), F.date_format("fetched_at", "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" +0000</pubDate></item>"))
+    feeds = p.select("site", F.col("page_id"), item.alias("x")).groupBy("site", F.pmod("page_id", F.lit(64)).alias("part")).agg(F.concat(F.lit("<rss>"), F.array_join(F.collect_list("x"), ""), F.lit("</rss>")).alias("xml"))
+    a = articles(feeds, since="2024-01-01", source="site")
+    return a.select("site", "title", "published", F.replace("url", F.lit("&amp;"), F.lit("&")).alias("url"))
