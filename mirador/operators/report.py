@@ -105,7 +105,7 @@ def markdown_cards(entities: DataFrame) -> DataFrame:
     t = primary_type()
     others = F.array_join(F.filter("types", lambda x: (text(x) != "") & ~x.eqNullSafe(t)), ", ")
     bold = lambda label, body: F.concat(F.lit(f"**{label}:** "), body, F.lit("  \n"))
-    coords = F.concat(F.col("coordinates.lat").cast("string"), F.lit(", "), F.col("coordinates.lng").cast("string"), F.coalesce(F.format_string(" *(confianza: %.2f)*", F.col("coordinates.confidence")), F.lit("")))
+    coords = F.concat(F.col("coordinates.lat").cast("string"), F.lit(", "), F.col("coordinates.lng").cast("string"), F.when(F.col("coordinates.confidence").isNotNull(), F.format_string(" *(confianza: %.2f)*", F.col("coordinates.confidence"))).otherwise(""))
     short = F.trim(text(F.col("shortDescription")))
     parts = [
         F.concat(F.lit("### "), F.coalesce(F.nullif("name", F.lit("")), F.lit("Sin nombre")), F.lit("\n\n")), bold("Tipo", F.coalesce(t, F.lit("-"))), F.when(others != "", bold("Tipos relacionados", others)), F.when(short != "", bold("Descripcion", F.substring(short, 1, 300))),

