@@ -129,8 +129,11 @@ def choose_strict(records: DataFrame, fields: tuple[Field, ...] = FIELDS, group:
     """
     vote = F.struct(F.coalesce("trust", F.lit(float("-inf"))).alias("trust"), F.coalesce("at", F.lit("0001-01-01").cast("timestamp_ntz")).alias("at"), (-F.col("id")).alias("least"))
     values = long_rows(records, fields, group, key, when).groupBy("grp", "field", "cuttable", "value").agg(F.max(vote).alias("best"), F.count("*").alias("n"))
-    marked = mark_beginnings(values).join(short_beginnings(values).withColumn("short", F.lit(True)), ["grp", "field", "value"], "left")
-    usable = F.col("value").isNotNull() & ~F.col("beginning") & F.col("short").isNull()
+    # From here on only short values are still asked for; the texts stay behind.
+    marked = mark_beginnings(values).withColumn("open", F.col("value").isNotNull() & ~F.col("beginning"))
+    marked = marked.select("grp", "field", "best", "n", "open", F.when(F.col("cuttable") & (F.length("value") < HEAD), F.col("value")).alias("value"))
+    marked = marked.join(short_beginnings(values).withColumn("short", F.lit(True)), ["grp", "field", "value"], "left")
+    usable = F.col("open") & F.col("short").isNull()
     return (
         marked.groupBy("grp", "field")
         .agg(F.max(F.when(usable, F.col("best"))).alias("best"), F.sum("n").alias("n"))
