@@ -278,3 +278,16 @@ def test_cuts(spark):
     rates = {x["source"]: x["texts"] for x in cutoff.cut_rates(df).collect()}
     assert rates == {"a": 400, "b": 60}
     assert cutoff.find_cut(df.where("false")).count() == 0
+
+
+def test_common_names_meet_at_their_places(spark, monkeypatch):
+    gz = spark.createDataFrame([("Burgos", None, "09001"), ("Lerma", None, "09340")], "city string, province string, postcode string")
+    s = f"{{}} bigint, name string, type string, address string, coordinates {COORD}, wikidataId string, entity_key string"
+    at = lambda a, b: (a, b, "", 1.0)
+    places = [(36.0 + 0.13 * k, -8.0 + 0.17 * k) for k in range(40)]
+    left = [(k, "Iglesia de San Juan", "Church", "", at(*p), "", None) for k, p in enumerate(places)] + [(100, "Iglesia San Juan", "", "C/ Mayor 2, Lerma", None, "", None), (101, "Iglesia de San Juan", "", None, None, "", None)]
+    right = [(1000 + k, "San Juan, Iglesia", "Church", "", at(p[0] + 0.03, p[1]), "", None) for k, p in enumerate(places)] + [(2000, "Iglesia de San Juan", "", "Calle Mayor, 2 - 09340 Lerma", None, "", None), (2001, "Iglesia de San Juan", "", "", None, "", None)]
+    l, r = spark.createDataFrame(left, s.format("entity_id")), spark.createDataFrame(right, s.format("kb_id"))
+    monkeypatch.setattr(matching, "HOT", 3)
+    got = {(x["entity_id"], x["kb_id"]) for x in matching.match_records(l, r, gz).collect()}
+    assert got == {(k, 1000 + k) for k in range(40)} | {(100, 2000)}
