@@ -36,3 +36,20 @@ def checked_broadcast(small: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame
     ``small`` should be cut (:func:`cut`) before, or the count computes it twice.
     """
     return F.broadcast(small) if small.limit(rows + 1).count() <= rows else small
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors (once per context), so that Python workers can import it wherever they run.
+
+    The archive is made on the driver and served by Spark; executors need no path of the driver's machine.
+    """
+    import os
+    import shutil
+
+    sc = spark.sparkContext
+    if getattr(sc, "_mirador_shipped", False):
+        return
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    folder = tempfile.mkdtemp(prefix="mirador-package-")
+    sc.addPyFile(shutil.make_archive(os.path.join(folder, "mirador"), "zip", root, "mirador"))
+    sc._mirador_shipped = True
