@@ -60,7 +60,7 @@ FIELD = r"(?:t[ií]t(?:ulo|le|ol|re)|sub_?t[ií]tulo|name|nombre|nom|descri\w+|f
 PLACEHOLDER = regex.compile(
     r"\{\{+[^{}]{0,80}\}\}+|\$\{[^{}]{0,80}\}|#\{[^{}]{0,80}\}|\{%[^{}]{0,80}%\}|<%=?[^<>]{0,80}%>|<\?(?:php|=)[^<>]{0,80}\?>|\[\[[^\[\]]{0,80}\]\]"
     r"|\{[\p{L}_][\w.]*\}|\{\d{1,2}\}|%%[\p{L}_][\w.]*%%|(?<![\w%])%[\p{L}_]+[\w.]*%(?!\w)|%\([\w.]+\)[sd]|@@[\p{L}_][\w.]*@@|##[\p{L}_][\w.]*##|\$[\p{L}_][\w.]*\$"
-    r"|(?<!\w)__[\p{L}_][\w.]*?__(?!\w)|(?<!\w)X{2,}_[\w.]+?_X{2,}(?!\w)|<[\p{L}_][\w ]*\s+(?:aqu[ií]|here|ici)>"
+    r"|(?<!\w)__[\p{L}_][\w.]*?__(?!\w)|(?<!\w)X{2,}_[\w.]+?_X{2,}(?!\w)|<[\p{L}_][\w .]*\s+(?:aqu[ií]|here|ici)>"
     r"|\[(?:insert\w*|inserir|a[ñn]ad\w+|rellen\w+|complet\w+|ponga|your|su|tu|add|enter)\s[^\[\]]{0,60}\]"
     rf"|\[{FIELD}(?:[_ .]\w+)?\]|\[[\p{{Lu}}_]{{4,}}(?:[_ ][\p{{Lu}}_]+)*\]|<{FIELD}(?:[_.]\w+)?>|\[object \w+\]|\bundefined\b.*\bundefined\b|\bNaN\b.*\bNaN\b",
     regex.IGNORECASE | regex.V0,
