@@ -2,6 +2,7 @@
 
 import collections
 import datetime
+import math
 import random
 import re
 import unicodedata
@@ -291,3 +292,35 @@ def test_common_names_meet_at_their_places(spark, monkeypatch):
     monkeypatch.setattr(matching, "HOT", 3)
     got = {(x["entity_id"], x["kb_id"]) for x in matching.match_records(l, r, gz).collect()}
     assert got == {(k, 1000 + k) for k in range(40)} | {(100, 2000)}
+
+
+def test_common_names_and_crowded_cells_lose_no_pair(spark, monkeypatch):
+    gz = spark.createDataFrame([("Burgos", None, "09001"), ("Lerma", None, "09340")], "city string, province string, postcode string")
+    s = f"{{}} bigint, name string, type string, address string, coordinates {COORD}, wikidataId string, entity_key string"
+    at = lambda a, b: (a, b, "", 1.0)
+    places = [(36.0 + 0.13 * k, -8.0 + 0.17 * k) for k in range(30)]
+    left = [(k, "Ermita de Valdezarcón", "Chapel", "", at(*p), "", None) for k, p in enumerate(places)] + [(100, "Ermita de Valdezarcón", "", "C/ Mayor 2, Lerma", None, "", None), (101, "Ermita de Valdezarcón", "", None, None, "", None)]
+    # Misspelt names: 4 km away, of the same city without coordinates, of no place.
+    right = [(1000 + k, "Ermita Valdezarcno", "Chapel", "", at(p[0] + 0.036, p[1]), "", "") for k, p in enumerate(places)] + [(2000, "Ermita de Valdezracón", "", "Plaza del Sol 9, Lerma", None, "", ""), (2002, "Ermita de Valdezracón", "", "Lerma, C/ Mayro 2", None, "", ""), (2001, "Ermita de Valdezarcno", "", "", None, "", "")]
+    # A crowded cell with pairs of names that are only alike.
+    words = [f"{a}{b}{c}" for a in ("torm", "quind", "zurb") for b in ("abel", "oril", "ufen") for c in ("dar", "mis", "pon")]
+    left += [(300 + k, f"Hotel {w}", "Hotel", "", at(42.0, -3.7), "", None) for k, w in enumerate(words)]
+    right += [(3000 + k, f"Hotel {w[:4]}{w[5]}{w[4]}{w[6:]} Sur", "Hotel", "", at(42.0, -3.7), "", "") for k, w in enumerate(words)]
+    l, r = spark.createDataFrame(left, s.format("entity_id")), spark.createDataFrame(right, s.format("kb_id"))
+    got = {}
+    for hot in (3, 10**9):
+        monkeypatch.setattr(matching, "HOT", hot)
+        got[hot] = {(x["entity_id"], x["kb_id"]) for x in matching.match_records(l, r, gz).collect()}
+    assert got[3] == got[10**9]
+    assert {(k, 1000 + k) for k in range(30)} | {(100, 2002)} <= got[3] and not any(b == 2001 for _, b in got[3])
+
+
+def test_near_points_share_a_cell():
+    r = random.Random(8)
+    for k in range(20_000):
+        lat, lng = (r.uniform(-89.9, 89.9), r.choice([r.uniform(-180, 180), 179.999, -179.999])) if k % 2 else (40.5 + r.uniform(-0.02, 0.02), r.uniform(-9, 4))
+        d = r.uniform(0, 0.0449)
+        a = r.uniform(0, 6.3)
+        o = (lat + d * math.sin(a), (lng + d * math.cos(a) / math.cos(math.radians(lat)) + 180) % 360 - 180)
+        if abs(o[0]) < 90 and matching.distance(lat, lng, *o) <= matching.NEAR_KM:
+            assert matching.nearby(lat, lng, False) & matching.nearby(*o, True)
