@@ -7,6 +7,7 @@ import random
 import re
 import unicodedata
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -324,3 +325,16 @@ def test_near_points_share_a_cell():
         o = (lat + d * math.sin(a), (lng + d * math.cos(a) / math.cos(math.radians(lat)) + 180) % 360 - 180)
         if abs(o[0]) < 90 and matching.distance(lat, lng, *o) <= matching.NEAR_KM:
             assert matching.nearby(lat, lng, False) & matching.nearby(*o, True)
+
+
+def test_alike_names_share_a_table_at_every_size():
+    rng = np.random.default_rng(1)
+    for bits in (8, 15, 18, 22):
+        a, b = rng.normal(size=(2, 600, matching.DIM))
+        a /= np.linalg.norm(a, axis=1, keepdims=True)
+        b -= (a * b).sum(axis=1, keepdims=True) * a
+        b = 0.9 * a + math.sqrt(1 - 0.81) * b / np.linalg.norm(b, axis=1, keepdims=True)
+        planes = rng.normal(size=(matching.DIM, matching.name_tables(bits) * bits))
+        same = ((a @ planes > 0) == (b @ planes > 0)).reshape(600, -1, bits).all(axis=2).any(axis=1)
+        assert same.mean() > 0.85
+    assert all(matching.name_tables(b) >= matching.TABLES for b in range(8, 30))
