@@ -338,3 +338,17 @@ def test_alike_names_share_a_table_at_every_size():
         same = ((a @ planes > 0) == (b @ planes > 0)).reshape(600, -1, bits).all(axis=2).any(axis=1)
         assert same.mean() > 0.85
     assert all(matching.name_tables(b) >= matching.TABLES for b in range(8, 30))
+
+
+def test_all_lines_of_a_template_are_judged(spark):
+    texts = ["La villa guarda un castillo antiguo junto al río. Los vecinos cuidan la muralla y las huertas del valle cada año.", "El museo enseña cuadros de pintores de la comarca. En verano los vecinos cuidan las huertas del valle y la muralla."]
+    rows = [("p", 10_000 + k, None, f"{texts[k % 2]}\ncompartir enlace con tus amigos ahora mismo gratis") for k in range(200)]
+    # Of one template the lines that are met first are not like the others.
+    rows += [("p", k, None, "Durante la tarde compartir enlace con tus amigos ahora mismo gratis." if k < 80 else "Durante la tarde los vecinos cuidan la muralla y las huertas del valle.") for k in range(1000)]
+    pages = spark.createDataFrame(rows, "table_name string, record_id bigint, url string, text string")
+    assert not {r["record_id"] for r in boilerplate.find_boilerplate(pages).collect()} & set(range(1000))
+    likes = []
+    for n in (1, 3):
+        read = boilerplate.read_pages(pages.withColumnRenamed("url", "host").repartition(n))
+        likes.append({(r["kind"], r["head"], r["like"]) for r in boilerplate.text_likeness(boilerplate.template_evidence(read), read).collect()})
+    assert likes[0] == likes[1] and any(k == "sent" and x is not None for k, _, x in likes[0])
