@@ -145,12 +145,14 @@ def choose_strict(records: DataFrame, fields: tuple[Field, ...] = FIELDS, group:
 def choose_summed(records: DataFrame, as_of: str, half_life_days: float = 365.0, fields: tuple[Field, ...] = FIELDS, group: str = "entity_key", key: str = "entity_id", when: str = "extracted_at") -> DataFrame:
     """One row per group with a column per field: the value with the most votes, trust x 0.5^(age / half life) summed.
 
-    Trust null counts 0.1. Values vote together if they are equal when folded; of these the spelling of the strongest
+    Trust null counts 0.1. Descriptions that are just the beginning of a longer one of the group have no vote. Values vote together if they are equal when folded; of these the spelling of the strongest
     row is given. Ties go to the spelling that sorts last. ``as_of`` is the date from which ages count.
     """
     age = F.greatest(F.lit(0), F.datediff(F.lit(as_of).cast("date"), F.col("at").cast("date")))
     vote = F.coalesce("trust", F.lit(0.1)) * F.pow(F.lit(0.5), F.coalesce(age, F.lit(3650)) / F.lit(half_life_days))
     rows = long_rows(records, fields, group, key, when).where("value is not null").withColumn("vote", F.round(vote, 9))
-    votes = rows.groupBy("grp", "field", folded(F.col("value")).alias("norm")).agg(F.sum("vote").alias("votes"), F.max_by("value", F.struct("vote", "value")).alias("value"))
+    values = rows.groupBy("grp", "field", "cuttable", "value").agg(F.sum("vote").alias("votes"), F.max("vote").alias("vote"))
+    whole = mark_beginnings(values).where(~F.col("beginning")).join(short_beginnings(values), ["grp", "field", "value"], "left_anti")
+    votes = whole.groupBy("grp", "field", folded(F.col("value")).alias("norm")).agg(F.sum("votes").alias("votes"), F.max_by("value", F.struct("vote", "value")).alias("value"))
     best = votes.groupBy("grp", "field").agg(F.max_by("value", F.struct(F.round("votes", 6).alias("votes"), F.col("value"))).alias("value"))
     return best.groupBy(F.col("grp").alias(group)).pivot("field", [f.name for f in fields]).agg(F.first("value"))

@@ -102,6 +102,14 @@ def test_votes_add_up(spark):
     assert survivor.choose_summed(spark.createDataFrame(rows, ENTITY), "2025-01-01").first()["shortDescription"] in ("Dos", "dos.")
 
 
+def test_beginnings_have_no_vote(spark):
+    day = datetime.datetime(2025, 1, 1)
+    long = "Una plaza grande y antigua de la ciudad vieja con fuentes y muchas flores de colores y bancos"
+    rows = [(k, "k", 0.9, day, "Una plaza gran...", long[:80], "Calle Sol", None, "", "") for k in range(3)] + [(3, "k", 0.5, day, "Una plaza grande", long, "Calle Sol 5", None, "", "")]
+    got = survivor.choose_summed(spark.createDataFrame(rows, ENTITY), "2025-01-01").first()
+    assert (got["shortDescription"], got["longDescription"], got["address"]) == ("Una plaza grande", long, "Calle Sol")
+
+
 # 3: matching
 
 
