@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,17 +12,17 @@ from ..functions.urls import absolute, domain, foreign_language, normalize, skip
 from ..sources.tables import cut
 
 
-def subtrees(ontology: DataFrame, roots: tuple[str, ...] = dims.ROOTS, most: int = 32) -> DataFrame:
-    """(root, name, depth) of all classes under the roots, these included, by repeated joins; a class tree is shallow."""
+def subtrees(ontology: DataFrame, roots: tuple[str, ...] = dims.ROOTS) -> DataFrame:
+    """(root, name, depth) of all classes under the roots, these included, by repeated joins until a level has no new one."""
     level = ontology.where(F.col("name").isin(*roots)).select(F.col("name").alias("root"), "name", F.lit(0).alias("depth"))
-    out = level
+    out = level = cut(level.distinct())
     child = ontology.select(F.col("name").alias("child"), "parent")
-    for d in range(1, most):
-        level = cut(level.join(child, level["name"] == child["parent"]).select("root", F.col("child").alias("name"), F.lit(d).alias("depth")))
+    for d in count(1):
+        below = level.join(child, level["name"] == child["parent"]).select("root", F.col("child").alias("name")).distinct()
+        level = cut(below.join(out.select("root", "name"), ["root", "name"], "left_anti").withColumn("depth", F.lit(d)))
         if level.isEmpty():
-            break
-        out = out.unionByName(level)
-    return out.groupBy("root", "name").agg(F.min("depth").alias("depth"))
+            return out
+        out = cut(out.unionByName(level))
 
 
 def classifiable(ontology: DataFrame) -> DataFrame:
@@ -37,7 +39,7 @@ def page_links(pages: DataFrame, home: str | None = None, lang: str = "") -> Dat
     return full.where((domain(F.col("link")) == own) & ~skipped(F.col("link")) & ~foreign_language(F.col("link"), lang)).distinct()
 
 
-def crawl_order(edges: DataFrame, seeds: DataFrame, done: DataFrame | None = None, most_rounds: int = 1000) -> DataFrame:
+def crawl_order(edges: DataFrame, seeds: DataFrame, done: DataFrame | None = None) -> DataFrame:
     """(url, depth): pages reachable from the seeds over (page, link) edges, breadth first, none of ``done``; by a join a round.
 
     The visited set is anti-joined each round, so a round costs its own edges; lineage is cut each round.
@@ -47,12 +49,11 @@ def crawl_order(edges: DataFrame, seeds: DataFrame, done: DataFrame | None = Non
     level = cut((level.join(skip, "url", "left_anti") if skip is not None else level).withColumn("depth", F.lit(0)))
     seen = level
     e = edges.select("page", "link").distinct()
-    for d in range(1, most_rounds):
+    for d in count(1):
         nxt = level.join(e, level["url"] == e["page"]).select(F.col("link").alias("url")).distinct().join(seen.select("url"), "url", "left_anti")
         if skip is not None:
             nxt = nxt.join(skip, "url", "left_anti")
         level = cut(nxt.withColumn("depth", F.lit(d)))
         if level.isEmpty():
-            break
+            return seen
         seen = cut(seen.unionByName(level))
-    return seen

@@ -1,3 +1,4 @@
+import inspect
 import json
 
 from pyspark.sql import functions as F
@@ -76,6 +77,14 @@ def test_links_and_order(spark):
     assert {r["url"] for r in G.crawl_order(e, s, done=spark.createDataFrame([("b",)], "url string")).collect()} == {"a"}
 
 
+def test_traversals_have_no_bound(spark):
+    names = [f"c{k}" for k in range(36)]
+    o = spark.createDataFrame([*zip(names[1:], names), ("c0", "c35")], "name string, parent string")
+    assert {tuple(r) for r in G.subtrees(o, roots=("c0",)).collect()} == {("c0", n, k) for k, n in enumerate(names)}
+    # A chain of more levels than its old bound of 1000 takes minutes.
+    assert "most_rounds" not in inspect.signature(G.crawl_order).parameters
+
+
 def test_broadcast_is_checked(spark):
     small = cut(spark.range(10))
     assert "Broadcast" in spark.range(1000).join(checked_broadcast(small, 10), "id")._jdf.queryExecution().toString()
