@@ -164,7 +164,7 @@ def test_same_address_pairs(spark):
 def test_tree_matching_is_order_preserving_and_heaviest():
     a = boilerplate.lines_of("Inicio | Contacto\nUna frase muy larga que habla de la villa y de su río.\n© 2020 Villa")
     b = boilerplate.lines_of("© 2020 Villa\nInicio | Contacto\nOtra frase muy larga que habla de la villa y de su monte.\n© 2021 Villa")
-    assert [(i, j) for i, j in boilerplate.match(a, b)] == [(0, 1), (2, 3)]
+    assert [(i, j) for i, j, _ in boilerplate.match(a, b)] == [(0, 1), (2, 3)]
 
 
 def test_boilerplate(spark, small):
@@ -173,10 +173,9 @@ def test_boilerplate(spark, small):
     lines = {(r["table_name"], r["record_id"]): r["text"].split("\n") for r in pages.where("text is not null").collect()}
     out = [lines[r["table_name"], r["record_id"]][r["line_no"]] for r in found]
     assert all(x.strip() for x in out)
-    assert sum(bool(re.search(r"©|[Cc]ookies propias|\| Tel\.", x)) for ls in lines.values() for x in ls) == sum(bool(re.search(r"©|[Cc]ookies propias|\| Tel\.", x)) for x in out)
     assert not any(re.search(r"€$", x) and x.startswith("- ") for x in out)
-    more = pages.unionByName(spark.createDataFrame([("evidence", -1, None, None), ("evidence", -2, "http://x.es", " \n"), ("evidence", -3, None, "Inicio | Contacto\n")], pages.schema))
-    assert {r["record_id"] for r in boilerplate.find_boilerplate(more).where("record_id < 0").collect()} == {-3}
+    more = pages.unionByName(spark.createDataFrame([("evidence", -1, None, None), ("evidence", -2, "http://x.es", " \n"), *[("evidence", -3 - k, None, "Inicio | Contacto\n") for k in range(3)]], pages.schema))
+    assert {r["record_id"] for r in boilerplate.find_boilerplate(more).where("record_id < 0").collect()} == {-3, -4, -5}
     assert boilerplate.find_boilerplate(pages.where("false")).count() == 0
 
 
@@ -348,15 +347,41 @@ def test_alike_names_share_a_table_at_every_size():
     assert all(matching.name_tables(b) >= matching.TABLES for b in range(8, 30))
 
 
-def test_all_lines_of_a_template_are_judged(spark):
-    texts = ["La villa guarda un castillo antiguo junto al río. Los vecinos cuidan la muralla y las huertas del valle cada año.", "El museo enseña cuadros de pintores de la comarca. En verano los vecinos cuidan las huertas del valle y la muralla."]
-    rows = [("p", 10_000 + k, None, f"{texts[k % 2]}\ncompartir enlace con tus amigos ahora mismo gratis") for k in range(200)]
-    # Of one template the lines that are met first are not like the others.
-    rows += [("p", k, None, "Durante la tarde compartir enlace con tus amigos ahora mismo gratis." if k < 80 else "Durante la tarde los vecinos cuidan la muralla y las huertas del valle.") for k in range(1000)]
-    pages = spark.createDataFrame(rows, "table_name string, record_id bigint, url string, text string")
-    assert not {r["record_id"] for r in boilerplate.find_boilerplate(pages).collect()} & set(range(1000))
-    likes = []
-    for n in (1, 3):
-        read = boilerplate.read_pages(pages.withColumnRenamed("url", "host").repartition(n))
-        likes.append({(r["kind"], r["head"], r["like"]) for r in boilerplate.text_likeness(boilerplate.template_evidence(read), read).collect()})
-    assert likes[0] == likes[1] and any(k == "sent" and x is not None for k, _, x in likes[0])
+def site_pages(n=60):
+    """Pages of two sites: (record_id, lines, which lines are no main body)."""
+    r = random.Random(4)
+    name = lambda: "".join(r.choice(["ba", "lo", "mir", "tu", "ver", "za"]) for _ in range(3)).capitalize()
+    frames = (
+        lambda: f"Desde la torre se divisa la sierra de {name()} y los tejados de {name()}.", lambda: f"La leyenda de {name()} cuenta que el molino ardió una noche de {name()}.",
+        lambda: f"Los vecinos de {name()} guardan en el horno un traje bordado por {name()}.", lambda: f"El abono incluye la visita de {name()} y un paseo por {name()} al atardecer.",
+    )
+    out = []
+    for k in range(n):
+        site = "abcd"[k % 2]
+        mine = r.sample(frames, 4)
+        lines = [("Inicio | Rutas | Contacto | Agenda", True), (f"Este portal lo mantiene la oficina de turismo de la villa {site} y de su comarca.", True), (f"Usamos cookies para medir {name()} en la red. Consulta siempre la política de la casa {site}.", True), (f"{mine[0]()} {mine[1]()}", False), (mine[2](), False), (f"{mine[3]()} {frames[k % 4]()}", False), (f"- Entrada de {name()}: 7 €", False)]
+        if k % 3 == 0:
+            lines.append((f"Una casa única de {name()} acogió {name()} durante {k} inviernos que ya nadie recuerda ni en {name()}.", False))
+        out.append((k, site, lines))
+    return out
+
+
+def test_wrapper_induction_decides(spark, monkeypatch):
+    pages = site_pages()
+    rows = [("p", k, f"http://{s}.es/{k}", "\n".join(x for x, _ in ls)) for k, s, ls in pages]
+    df = spark.createDataFrame(rows, "table_name string, record_id bigint, url string, text string")
+    found = {(r["record_id"], r["line_no"]) for r in boilerplate.find_boilerplate(df).collect()}
+    want = {(k, i) for k, _, ls in pages for i, (_, outside) in enumerate(ls) if outside}
+    assert found == want
+    assert found == {(r["record_id"], r["line_no"]) for r in boilerplate.find_boilerplate(df.repartition(3)).collect()}
+    # A page that was loaded often is no evidence for a template.
+    once = [("q", k, "http://x.es/", rows[0][3].replace("Inicio", "Portada")) for k in range(20)]
+    assert boilerplate.find_boilerplate(spark.createDataFrame(once, df.schema)).count() == 0
+
+
+def test_nothing_is_wrapper_without_matches():
+    from mirador.llm.boilerplate import _COUNTS
+
+    assert boilerplate.match([], []) == [] and "matched" in _COUNTS
+    long = boilerplate.lines_of("\n".join(f"Frase número {k} de la página larga que se repite." for k in range(2000)))
+    assert len(boilerplate.match(long, long)) == 2000
