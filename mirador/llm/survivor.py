@@ -1,10 +1,12 @@
 """Problem 2: the best value of each field for each group of duplicate records.
 
-Method: fields are unpivoted to long rows (group, field, value); votes are pre-aggregated per normalised value; the
-winner of each group and field comes out by ``max_by``; ``pivot`` brings the record back.
+Method: fields are unpivoted to long rows (group, field, value); each row votes for its value; votes are added up per value
+before anything is shuffled and per normalised value after; the winner of each group and field comes out by ``max_by``;
+``pivot`` brings the record back.
 
-Two ways of voting: ``strict`` (the statement of the problem) ranks by trust, then date, then smallest id, so the vote
-of a value is the best of its rows; ``summed`` adds up trust times recency decay over all rows of a normalised value.
+Two ways of voting go through this: ``summed`` adds up trust times recency decay over the rows of a normalised value. In
+``strict`` (the statement of the problem: trust, then date, then smallest id) a vote is that triple and the sum of two
+votes is the greater one, so the winner is the row that the statement names; p2_found lists the pivoted record's fields.
 """
 
 from __future__ import annotations
@@ -120,39 +122,56 @@ def short_beginnings(values: DataFrame) -> DataFrame:
     return short.join(starts, ["grp", "field", "value"], "left_semi")
 
 
+def ballots(records: DataFrame, fields: tuple[Field, ...], group: str, key: str, when: str, vote: Column, add, norm: Column | None) -> DataFrame:
+    """(grp, field, norm, votes, strongest, n): the votes of each usable value, ``strongest`` the (vote, -id) of its best row.
+
+    ``norm`` tells values that vote together (null: each value for itself). Values that are not usable come too, without
+    votes, so that n adds up to the rows of the group. Copies of a value are added up before each shuffle, so a hot group
+    costs its distinct values only; after beginnings are marked the texts stay behind.
+    """
+    rows = long_rows(records, fields, group, key, when).withColumn("vote", vote)
+    values = rows.groupBy("grp", "field", "cuttable", "value").agg(add("vote").alias("votes"), F.max(F.struct("vote", (-F.col("id")).alias("least"))).alias("strongest"), F.count("*").alias("n"))
+    marked = mark_beginnings(values).withColumn("open", F.col("value").isNotNull() & ~F.col("beginning"))
+    # Only short values are still asked for.
+    marked = marked.select("grp", "field", (F.lit(None).cast("bigint") if norm is None else norm).alias("norm"), "votes", "strongest", "n", "open", F.when(F.col("cuttable") & (F.length("value") < HEAD), F.col("value")).alias("value"))
+    marked = marked.join(short_beginnings(values).withColumn("short", F.lit(True)), ["grp", "field", "value"], "left")
+    usable = F.col("open") & F.col("short").isNull()
+    return marked.select("grp", "field", "norm", *[F.when(usable, F.col(c)).alias(c) for c in ("votes", "strongest")], "n")
+
+
+def elected(votes: DataFrame, fields: tuple[Field, ...], order: Column, least: int = 1) -> DataFrame:
+    """(grp, and per field the id of the row that wins or null): ``max_by`` over the votes, pivoted, for groups of ``least`` rows or more."""
+    names = [f.name for f in fields]
+    best = votes.groupBy("grp").pivot("field", names).agg(F.max_by(-F.col("strongest.least"), order).alias("id"), F.sum("n").alias("n"))
+    return best.where(F.greatest(*[F.col(f"`{n}_n`") for n in names], F.lit(0)) >= least).select("grp", *[F.col(f"`{n}_id`").alias(n) for n in names])
+
+
 def choose_strict(records: DataFrame, fields: tuple[Field, ...] = FIELDS, group: str = "entity_key", key: str = "entity_id", when: str = "extracted_at") -> DataFrame:
     """(grp, field_name, id): for each group of two or more rows and each field the row whose value survives.
 
     Highest trust (null and NaN lowest), then latest ``when`` (null lowest), then smallest key. Rows of a null or blank
     group are single and give nothing; no row if no value of the group is usable; a repeated row competes with itself.
-    Copies of a value are pre-aggregated before each shuffle, so a hot group costs its distinct values only.
     """
     vote = F.struct(F.coalesce("trust", F.lit(float("-inf"))).alias("trust"), F.coalesce("at", F.lit("0001-01-01").cast("timestamp_ntz")).alias("at"), (-F.col("id")).alias("least"))
-    values = long_rows(records, fields, group, key, when).groupBy("grp", "field", "cuttable", "value").agg(F.max(vote).alias("best"), F.count("*").alias("n"))
-    # From here on only short values are still asked for; the texts stay behind.
-    marked = mark_beginnings(values).withColumn("open", F.col("value").isNotNull() & ~F.col("beginning"))
-    marked = marked.select("grp", "field", "best", "n", "open", F.when(F.col("cuttable") & (F.length("value") < HEAD), F.col("value")).alias("value"))
-    marked = marked.join(short_beginnings(values).withColumn("short", F.lit(True)), ["grp", "field", "value"], "left")
-    usable = F.col("open") & F.col("short").isNull()
-    return (
-        marked.groupBy("grp", "field")
-        .agg(F.max(F.when(usable, F.col("best"))).alias("best"), F.sum("n").alias("n"))
-        .where("n >= 2 and best is not null")
-        .select(F.col("grp"), F.col("field").alias("field_name"), (-F.col("best.least")).alias("id"))
-    )
+    votes = ballots(records, fields, group, key, when, vote, F.max, None)
+    record = elected(votes, fields, F.col("votes"), 2)
+    return record.unpivot("grp", [f.name for f in fields], "field_name", "id").where("id is not null")
 
 
 def choose_summed(records: DataFrame, as_of: str, half_life_days: float = 365.0, fields: tuple[Field, ...] = FIELDS, group: str = "entity_key", key: str = "entity_id", when: str = "extracted_at") -> DataFrame:
     """One row per group with a column per field: the value with the most votes, trust x 0.5^(age / half life) summed.
 
     Trust null counts 0.1. Descriptions that are just the beginning of a longer one of the group have no vote. Values vote together if they are equal when folded; of these the spelling of the strongest
-    row is given. Ties go to the spelling that sorts last. ``as_of`` is the date from which ages count.
+    row is given (of equally strong ones that of the smallest key). Ties go to the value of the strongest row. ``as_of`` is the date from which ages count.
+    A field without a usable value is null. Groups where no field has one come too.
     """
     age = F.greatest(F.lit(0), F.datediff(F.lit(as_of).cast("date"), F.col("at").cast("date")))
-    vote = F.coalesce("trust", F.lit(0.1)) * F.pow(F.lit(0.5), F.coalesce(age, F.lit(3650)) / F.lit(half_life_days))
-    rows = long_rows(records, fields, group, key, when).where("value is not null").withColumn("vote", F.round(vote, 9))
-    values = rows.groupBy("grp", "field", "cuttable", "value").agg(F.sum("vote").alias("votes"), F.max("vote").alias("vote"))
-    whole = mark_beginnings(values).where(~F.col("beginning")).join(short_beginnings(values), ["grp", "field", "value"], "left_anti")
-    votes = whole.groupBy("grp", "field", folded(F.col("value")).alias("norm")).agg(F.sum("votes").alias("votes"), F.max_by("value", F.struct("vote", "value")).alias("value"))
-    best = votes.groupBy("grp", "field").agg(F.max_by("value", F.struct(F.round("votes", 6).alias("votes"), F.col("value"))).alias("value"))
-    return best.groupBy(F.col("grp").alias(group)).pivot("field", [f.name for f in fields]).agg(F.first("value"))
+    vote = F.round(F.coalesce("trust", F.lit(0.1)) * F.pow(F.lit(0.5), F.coalesce(age, F.lit(3650)) / F.lit(half_life_days)), 9)
+    votes = ballots(records, fields, group, key, when, vote, F.sum, F.xxhash64(folded(F.col("value"))))
+    together = votes.groupBy("grp", "field", "norm").agg(F.sum("votes").alias("votes"), F.max("strongest").alias("strongest"), F.sum("n").alias("n"))
+    order = F.when(F.col("votes").isNotNull(), F.struct(F.round("votes", 6).alias("votes"), F.col("strongest")))
+    record = elected(together, fields, order)
+    # The winners' values are read from their rows: ids travel, texts once.
+    won = record.unpivot("grp", [f.name for f in fields], "field", "id")
+    values = long_rows(records, fields, group, key, when).where("value is not null").select("id", "field", "value")
+    return won.join(values, ["id", "field"], "left").groupBy(F.col("grp").alias(group)).pivot("field", [f.name for f in fields]).agg(F.first("value", ignorenulls=True))
