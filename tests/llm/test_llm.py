@@ -55,6 +55,24 @@ def test_share_and_number_both_count(spark):
     assert site_lines.find_repeated_lines(df.where("block_uid < 160")).count() == 8
 
 
+def test_trees_of_two_partitions_merge_by_path():
+    lines = [["aviso legal de la villa", "hoy 0 grados"], ["aviso legal de la aldea", "hoy 0 grados"], ["hoy 0 grados", "aviso legal"]]
+    whole, left, right = site_lines.TokenTree(), site_lines.TokenTree(), site_lines.TokenTree()
+    for k, ls in enumerate(lines):
+        for tree in (whole, left if k == 0 else right):
+            tree.insert("a.es", ls)
+    left.merge(right)
+    assert sorted(left.templates(), key=str) == sorted(whole.templates(), key=str) and left.rows == whole.rows == {"a.es": 3}
+    # The rest of a line is a slot where lines of one path differ.
+    assert {(p, rest, n) for _, p, rest, n in left.templates()} == {("5 aviso legal de", None, 2), ("3 hoy 0 grados", "", 3), ("2 aviso legal", "", 1)}
+
+
+def test_lines_under_a_slot_count_by_themselves(spark):
+    rows = [(k, "http://a.es/", f"lee la ficha de {'abcdefghij'[k % 10] if k < 40 else 'siempre'}\nlee la ficha de {'abc'[k % 3]}z") for k in range(60)]
+    df = spark.createDataFrame(rows, "block_uid bigint, url string, text string").repartition(5)
+    assert {tuple(r) for r in site_lines.find_repeated_lines(df).collect()} == {(k, 0) for k in range(40, 60)} | {(k, 1) for k in range(60)}
+
+
 # 2: best value
 
 
@@ -240,7 +258,7 @@ def words(t):
     return re.findall(r"[^\W_]+", "".join(c for c in unicodedata.normalize("NFD", t) if not unicodedata.combining(c)))
 
 
-def test_leaks_equal_brute_force(spark):
+def test_leaks_equal_brute_force(spark, monkeypatch):
     r = random.Random(5)
     bag = ["el", "la", "a", "niño", "Ángel", "casa", "1492", "río", "y", "de", "torre", "o"]
     items = [(k, " ".join(r.choice(bag) for _ in range(r.choice([5, 12, 13, 40])))) for k in range(40)] + [(100, None), (101, "")]
@@ -260,9 +278,43 @@ def test_leaks_equal_brute_force(spark):
     want = {(d, i) for d, t in docs for w in [words(t)] for k in range(len(w) - 11) for i in grams.get(tuple(w[k : k + 12]), ())}
     D, I = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, item_text string")
     assert {tuple(x) for x in leaks.find_leaks(D, I).collect()} == want and want
+    monkeypatch.setattr(leaks, "ITEM_CHARS", 0)
+    assert {tuple(x) for x in leaks.find_leaks(D, I).collect()} == want
     assert leaks.find_leaks(D.where("false"), I).count() == 0 == leaks.find_leaks(D, I.where("false")).count()
 
 
+def within(window, text):
+    """The least edits that make ``window`` a part of ``text``."""
+    row = [0] * (len(text) + 1)
+    for i, x in enumerate(window, 1):
+        new = [i]
+        for j, y in enumerate(text, 1):
+            new.append(min(row[j] + 1, new[j - 1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return min(row)
+
+
+@pytest.mark.parametrize("edits", [1, 2])
+def test_leaks_within_edits_equal_brute_force(spark, monkeypatch, edits):
+    r = random.Random(edits)
+    bag = ["el", "castillo", "de", "la", "villa", "torre", "vieja", "y", "muralla"]
+    items = [(k, " ".join(r.choice(bag) for _ in range(r.choice([5, 7])))) for k in range(6)]
+    docs = []
+    for k in range(60):
+        part = list(" ".join(items[r.randrange(6)][1].split()[: r.choice([4, 5, 7])]))
+        for _ in range(r.randrange(4)):
+            at = r.randrange(len(part))
+            part[at : at + r.choice([0, 1, 1])] = r.choice(["", "x", " "])
+        docs.append((k, " ".join(r.choice(bag) for _ in range(r.randrange(4))) + " " + "".join(part) + " " + r.choice(bag)))
+    windows = {(i, " " + " ".join(w[a : a + 5]) + " ") for i, t in items for w in [t.split()] for a in range(len(w) - 4)}
+    want = {(d, i) for d, t in docs for i, w in windows if within(w, leaks.framed(t)) <= edits}
+    D, I = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, item_text string")
+    for chars in (10**6, 0):
+        monkeypatch.setattr(leaks, "ITEM_CHARS", chars)
+        assert {tuple(x) for x in leaks.find_leaks(D, I, words=5, edits=edits).collect()} == want
+    assert 0 < len(want) < 360
+
+
 # 10: cuts
 
 
