@@ -1,8 +1,9 @@
 """Problem 10: texts cut off by a field limit or a broken transfer.
 
 Method: a trie of the corpus vocabulary tells whether the last word of a text is unknown but a proper prefix of known
-words (cut within a word). Where the word is whole, the corpus tells whether texts and sentences end after its context
-(three, then two masked words), and the source's lengths tell whether the text ends just at a limit.
+words (cut within a word); the source's lengths tell whether the text ends just at a limit. A cut after a whole word shows
+in neither; there the trie goes on from words to their sequences: a path of the last masked words that the corpus nearly
+always continues, and where texts and sentences hardly ever end, breaks off.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ HOLD = 4_000_000
 LINE, SOFT = 6, 15
 _TOKEN = regex.compile(r"\p{L}[\p{L}\p{M}]*|[0-9]+|\n|[^\s\p{L}0-9]")
 _ADDRESS = regex.compile(r"(?:https?://|www\.)\S+|[\w.+-]+@[\w.-]+\w")
+_TAG = regex.compile(r"(?<!\w)#\w+")
 _EOL = regex.compile(r"\s*[\r\n\x0b\x0c\x85\u2028\u2029]\s*")
 #: What may follow a break: signs of going on, broken characters, tags and entities.
 _MARK = regex.compile(
@@ -49,7 +51,7 @@ def _code(t: str) -> int:
     return (zlib.crc32(t.encode("utf-8", "surrogatepass")) << 20 ^ len(t)) + 1
 
 
-NAME, NUMBER, EDGE, ADDRESS = (_code(x) for x in ("<N>", "<0>", "<edge>", "<U>"))
+NAME, NUMBER, ADDRESS, TAG = (_code(x) for x in ("<N>", "<0>", "<U>", "<T>"))
 NEWLINE = _code("\n")
 
 
@@ -64,7 +66,7 @@ class Vocabulary(dict):
     def __missing__(self, t: str) -> int:
         k = self[t] = len(self.words)
         self.words.append(t)
-        self.codes.append(NUMBER if t[0] in "0123456789" else ADDRESS if t == "\uffff" else _code(t))
+        self.codes.append(NUMBER if t[0] in "0123456789" else ADDRESS if t == "\uffff" else TAG if t == "\ufffe" else _code(t))
         self.classes.append(_OF.get(t, CAPITAL if t[0].isupper() else PLAIN))
         return k
 
@@ -74,6 +76,8 @@ def tokens(text: str) -> list[str]:
         text = _EOL.sub("\n", text)
     if "@" in text or "://" in text or "www." in text:
         text = _ADDRESS.sub("\uffff", text)
+    if "#" in text:
+        text = _TAG.sub("\ufffe", text)
     return _TOKEN.findall(text)
 
 
@@ -134,21 +138,36 @@ def tally(keys: np.ndarray, stops: np.ndarray, ends: np.ndarray) -> tuple[np.nda
     return k[first], np.diff(np.append(first, len(k))), np.add.reduceat(stops[order].astype(np.int64), first), np.add.reduceat(ends[order].astype(np.int64), first)
 
 
-def corpus_statistics(docs: DataFrame) -> DataFrame:
-    """(kind, word, k, n, stops, ends): how often a word (kind w), a context of three or two masked tokens (c, d) or the beginning of a
-    line or sentence up to LINE masked tokens (l) occurs within texts, is followed by the end of a sentence, and by the end of a
-    line. Contexts are known by their hash. The last word of a text counts for nothing here, so that a cut word does not
-    become known.
+_KINDS = "kind string, word string, k bigint, n bigint, stops bigint, ends bigint"
+_TAILS = "source string, size int, whole boolean, marks boolean, dots boolean, core boolean, c3 bigint, c2 bigint, line bigint, end bigint"
+
+
+def read_texts(docs: DataFrame) -> DataFrame:
+    """One pass over (id, source, text): counts of all texts and what the end of each shows, in rows told apart by ``kind``.
+
+    Counts (k, n, stops, ends): how often a word (kind w), a context of three or two masked tokens (c, d) or the beginning of
+    a line or sentence up to LINE masked tokens (l) occurs within texts, is followed by the end of a sentence, and by the end
+    of a line; contexts are known by their hash. The last word of a text counts for nothing here, so that a cut word does not
+    become known. Each task hands on sums.
+
+    Ends (kind t): whether a text ends whole, has marks or dots, its last word, its last contexts, its last line or sentence
+    if that has at most LINE tokens (``line``), and a hash that tells ends of equal texts from others (``end``).
     """
+    key = docs.schema["id"].dataType.simpleString()
+    counts = [f.split()[0] for f in _KINDS.split(", ")]
+    tails = ["id", *(f.split()[0] for f in _TAILS.split(", "))]
+    tail_types = {"source": pa.string(), "size": pa.int32(), **{c: pa.bool_() for c in ("whole", "marks", "dots", "core")}, **{c: pa.int64() for c in ("c3", "c2", "line", "end")}}
+    count_types = {"kind": pa.string(), "word": pa.string(), **{c: pa.int64() for c in ("k", "n", "stops", "ends")}}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[tuple[np.ndarray, ...]]] = {"c": [], "d": [], "l": []}
         words: dict[str, list[int]] = {}
-        size = 0
+        size, id_type = 0, None
 
-        def rows(kind: str, k: np.ndarray, n, stops, ends, word=None) -> pa.RecordBatch:
-            m = len(n)
-            return pa.RecordBatch.from_arrays([pa.array([kind] * m), pa.array(word if word is not None else [None] * m, pa.string()), pa.array(k, pa.int64()), *[pa.array(x, pa.int64()) for x in (n, stops, ends)]], names=["kind", "word", "k", "n", "stops", "ends"])
+        def rows(height: int, **cols) -> pa.RecordBatch:
+            types = count_types | {"id": id_type} | tail_types
+            order = [*counts, *tails]
+            return pa.RecordBatch.from_arrays([cols[c] if isinstance(cols.get(c), pa.Array) else pa.array(cols[c], types[c]) if c in cols else pa.nulls(height, types[c]) for c in order], names=order)
 
         def hand_on() -> Iterator[pa.RecordBatch]:
             for kind, parts in held.items():
@@ -157,21 +176,26 @@ def corpus_statistics(docs: DataFrame) -> DataFrame:
                     order = np.argsort(k, kind="stable")
                     k = k[order]
                     first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-                    yield rows(kind, k[first], *[np.add.reduceat(x[order], first) for x in (n, st, en)])
+                    n, st, en = (np.add.reduceat(x[order], first) if len(first) else x for x in (n, st, en))
+                    yield rows(len(first), kind=[kind] * len(first), k=k[first], n=n, stops=st, ends=en)
                 parts.clear()
             if words:
-                w = list(words)
-                yield rows("w", [None] * len(w), *zip(*words.values()), word=w)
+                n, st, en = zip(*words.values())
+                yield rows(len(words), kind=["w"] * len(words), word=list(words), n=n, stops=st, ends=en)
             words.clear()
 
         for b in batches:
+            id_type = b.column(0).type
             for lo in range(0, b.num_rows, 1000):
+                part = b.slice(lo, 1000)
+                texts = part.column(2).to_pylist()
+                ended = [tail(t) for t in texts]
                 v = Vocabulary()
                 flat: list[int] = []
                 edge = v["\n"]
-                for t in b.column(0).slice(lo, 1000).to_pylist():
+                for core, _, _ in ended:
                     # Two line ends set a text apart, so no context reaches over it: -1 marks where it ends.
-                    flat += [edge, edge, *[v[x] for x in tokens(tail(t)[0])], -1]
+                    flat += [edge, edge, *[v[x] for x in tokens(core)], -1]
                 at = np.array(flat, np.int64)
                 end = at == -1
                 at[end] = edge
@@ -182,78 +206,65 @@ def corpus_statistics(docs: DataFrame) -> DataFrame:
                 nxt = np.concatenate([classes[1:], [LINE_END]])
                 inside = np.flatnonzero(~open_)
                 k, n, st, en = tally(at[inside], nxt[inside] == STOP, nxt[inside] == LINE_END)
-                for i, *x in zip(k, n, st, en):
+                for i, *x in zip(k.tolist(), n.tolist(), st.tolist(), en.tolist()):
                     w = v.words[i]
                     if w[0].isalpha():
                         o = words.setdefault(w, [0, 0, 0])
-                        for j in range(3):
-                            o[j] += int(x[j])
+                        o[0] += x[0]
+                        o[1] += x[1]
+                        o[2] += x[2]
+                last_words = [w if (w := v.words[i])[0].isalpha() else "" for i in at[np.flatnonzero(end) - 1].tolist()]
                 m, keep = masked(codes, classes)
                 keep |= end
                 m, c, e = m[keep], classes[keep], end[keep]
+                closing = (c == STOP) | (c == LINE_END)
                 # Contexts are followed by a token of the same text.
                 last = np.flatnonzero(~e[2:-1] & ~e[3:] & ~e[1:-2] & ~e[:-3]) + 2 if len(m) > 3 else np.zeros(0, np.int64)
                 stops, ends = c[last + 1] == STOP, c[last + 1] == LINE_END
                 held["c"].append(tally(chain([m[last - 2], m[last - 1], m[last]]), stops, ends))
                 held["d"].append(tally(chain([m[last - 1], m[last]]), stops, ends))
-                start = np.flatnonzero(((c[:-1] == STOP) | (c[:-1] == LINE_END)) & ~e[:-1]) + 1
+                start = np.flatnonzero(closing[:-1] & ~e[:-1]) + 1
                 h, alive = np.full(len(start), _M3, np.uint64), np.ones(len(start), bool)
                 for k in range(LINE):
                     p = start + k
                     alive &= p < len(m) - 1
                     p = np.minimum(p, len(m) - 2)
-                    alive &= ~e[p] & (c[p] != STOP) & (c[p] != LINE_END)
+                    alive &= ~e[p] & ~closing[p]
                     h = _mix(h, m[p])
                     ok = alive & ~e[p + 1]
                     held["l"].append(tally(h[ok].astype(np.int64), c[p[ok] + 1] == STOP, c[p[ok] + 1] == LINE_END))
+                # The ends of the texts, in the same arrays.
+                z = np.flatnonzero(e) - 1
+                at_ = lambda back: m[np.maximum(z - back, 0)]
+                c3, c2 = chain([at_(2), at_(1), at_(0)]), chain([at_(1), at_(0)])
+                line, known = np.zeros(len(z), np.int64), closing[z]
+                none = known.copy()
+                for k in range(1, LINE + 1):
+                    here = ~known & closing[np.maximum(z - k, 0)]
+                    if here.any():
+                        line[here] = chain([m[z[here] - j] for j in range(k - 1, -1, -1)])
+                    known = known | here
+                none |= ~known
+                yield rows(
+                    len(texts), kind=["t"] * len(texts), word=last_words, id=part.column(0), source=part.column(1), size=list(map(len, texts)),
+                    whole=[bool(_WHOLE.search(x[-12:])) for x, _, _ in ended], marks=[x for _, x, _ in ended], dots=[x for _, _, x in ended], core=[bool(x) for x, _, _ in ended],
+                    c3=c3, c2=c2, line=pa.array(line, pa.int64(), mask=none), end=[int.from_bytes(hashlib.blake2b(x.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True) for x, _, _ in ended],
+                )
                 size += len(m)
                 if size > HOLD:
                     yield from hand_on()
                     size = 0
         yield from hand_on()
 
-    rows = docs.select("text").mapInArrow(run, "kind string, word string, k bigint, n bigint, stops bigint, ends bigint")
-    return rows.groupBy("kind", "word", "k").agg(*[F.sum(c).alias(c) for c in ("n", "stops", "ends")])
-
-
-def tails(docs: DataFrame) -> DataFrame:
-    """What the end of each text shows by itself: whether it ends whole, has marks or dots, its last word and contexts.
-
-    ``line`` is the last line or sentence, masked, if it has at most LINE tokens; ``end`` tells ends of equal texts from others.
-    """
-    kind = docs.schema["id"].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            v = Vocabulary()
-            out = []
-            for t in b.column(2).to_pylist():
-                core, marks, dots = tail(t)
-                near = core[-300:]
-                raw = tokens(near)
-                at = np.array([v["\n"]] * 3 + [v[x] for x in raw], np.int64)
-                codes, classes = np.array([v.codes[i] for i in at], np.int64), np.array([v.classes[i] for i in at], np.int8)
-                m, keep = masked(codes, classes)
-                m, c = m[keep], classes[keep]
-                word = raw[-1] if raw and raw[-1][0].isalpha() else ""
-                start = next((k for k in range(1, LINE + 1) if len(m) > k and c[-k - 1] in (STOP, LINE_END)), 0)
-                line = int(chain([m[-k : len(m) - k + 1] for k in range(start, 0, -1)])[0]) if start and c[-1] not in (STOP, LINE_END) else None
-                c3, c2 = (int(chain([m[len(m) - k : len(m) - k + 1] for k in range(n, 0, -1)])[0]) for n in (3, 2))
-                end = int.from_bytes(hashlib.blake2b(core[-200:].encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
-                out.append((bool(_WHOLE.search(core[-12:])), marks, dots, bool(core), word, c3, c2, line, end))
-            cols = list(zip(*out)) if out else [[]] * 9
-            types = (*[pa.bool_()] * 4, pa.string(), *[pa.int64()] * 4)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), *[pa.array(list(c), t) for c, t in zip(cols, types)]], names=["id", "source", "size", "whole", "marks", "dots", "core", "word", "c3", "c2", "line", "end"])
-
-    schema = f"id {kind}, source string, size int, whole boolean, marks boolean, dots boolean, core boolean, word string, c3 bigint, c2 bigint, line bigint, end bigint"
-    return docs.select("id", "source", "text", F.length("text").alias("size")).mapInArrow(run, schema)
+    return docs.select("id", "source", "text").mapInArrow(run, f"{_KINDS}, id {key}, {_TAILS}")
 
 
 def judged(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """(id, source, cut) for every text that is not missing or blank."""
     named = docs.select(F.col(key).alias("id"), F.coalesce(F.col(source), F.lit("")).alias("source"), F.col(text).alias("text")).where(F.col("text").rlike(r"(?U)\S"))
-    stats = cut(corpus_statistics(named))
-    ends = cut(tails(named))
+    read = cut(read_texts(named))
+    stats = cut(read.where("kind <> 't'").groupBy("kind", "word", "k").agg(*[F.sum(c).alias(c) for c in ("n", "stops", "ends")]))
+    ends = read.where("kind = 't'").drop("kind", "k", "n", "stops", "ends")
 
     # The trie of the vocabulary as a table of its nodes: a proper prefix of a known word is a node with children.
     words = stats.where("kind = 'w'").select("word", F.col("n").alias("nw"), (F.col("stops") + F.col("ends")).alias("ew"))
@@ -292,7 +303,7 @@ def judged(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str
     ending = F.coalesce(F.when(F.col("line").isNotNull(), share("line")), share("c3"), share("c2"), F.lit(0.0))
     word = F.col("word") != ""
     within = word & F.col("nw").isNull() & F.col("inner").isNotNull()
-    never = word & (F.col("nw") >= 10) & (F.col("ew") < 0.01 * F.col("nw")) & ~(F.coalesce(F.when(F.col("line").isNotNull(), share("line")), F.lit(0.0)) >= END_SHARE)
+    never = word & (F.col("ew") + 0.1 < 0.01 * F.col("nw")) & ~(F.coalesce(F.when(F.col("line").isNotNull(), share("line")), F.lit(0.0)) >= END_SHARE)
     hard = F.coalesce(F.col("hard") & (F.col("size") == F.col("limit")), F.lit(False))
     soft = F.coalesce(F.col("soft") & (F.col("size") >= F.col("limit") - SOFT), F.lit(False))
     breaks = within | F.coalesce(never, F.lit(False)) | hard | (ending < F.when(F.col("dots") & soft, F.lit(0.9)).otherwise(END_SHARE))
