@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import regex
@@ -178,15 +179,33 @@ class Parser:
         return (city, kind, " ".join(name), number if number and number != "sn" else "") if name else None
 
 
+#: A gazetteer goes to every task; the places of the world are some hundred thousand.
+GAZETTEER = 400_000
+
+
+def gazetteer_rows(gazetteer: DataFrame) -> tuple[tuple, ...]:
+    """(city, province, postcode) of the gazetteer's places, in order; more than GAZETTEER of them are an error."""
+    rows = gazetteer.select("city", "province", "postcode").where("city is not null").limit(GAZETTEER + 1).collect()
+    if len(rows) > GAZETTEER:
+        raise ValueError(f"a gazetteer has at most {GAZETTEER} places")
+    return tuple(sorted((tuple(r) for r in rows), key=lambda r: tuple(x or "" for x in r)))
+
+
+@lru_cache(maxsize=2)
+def parser_of(places: tuple[tuple, ...]) -> Parser:
+    """The worker's parser for a gazetteer, built once however many tasks it runs."""
+    return Parser(list(places))
+
+
 def parsed_addresses(records: DataFrame, gazetteer: DataFrame, key: str, address: str) -> DataFrame:
     """(id, city, kind, street, number) of the records whose address has a street.
 
-    The gazetteer (city, province, postcode) is a list of places of the world, at most some hundred thousand rows.
+    The gazetteer (city, province, postcode) is a list of places of the world, at most GAZETTEER rows.
     """
-    places = [tuple(r) for r in gazetteer.select("city", "province", "postcode").where("city is not null").collect()]
+    places = gazetteer_rows(gazetteer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parser = Parser(places)
+        parser = parser_of(places)
         for b in batches:
             rows = [(k, *p) for k, a in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if (p := parser.parse(a))]
             cols = list(zip(*rows)) if rows else [[]] * 5
