@@ -2,7 +2,7 @@
 
 Method: an address is parsed into its components (kind of road, street, number, city); abbreviations are expanded by the
 locale's dictionary; components in any order become one canonical form; addresses are joined on hierarchical keys: city,
-then street (typing errors mended against the corpus), then kind of road, then number. A component that is missing is
+then street (typing errors mended against the city's other streets), then kind of road, then number. A component that is missing is
 filled in by rule: a city by the postcode, else if all addresses of the street and number (else of the street) that name a
 city name the same; a kind of road likewise within the city. What can't be told stays missing and joins only its equals.
 """
@@ -15,7 +15,7 @@ from functools import lru_cache
 
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.tables import cut
@@ -179,6 +179,8 @@ class Parser:
         return (city, kind, " ".join(name), number if number and number != "sn" else "") if name else None
 
 
+#: A street is taken for a typing error of one with so many times its addresses.
+RATIO = 4
 #: A gazetteer goes to every task; the places of the world are some hundred thousand.
 GAZETTEER = 400_000
 
@@ -214,34 +216,70 @@ def parsed_addresses(records: DataFrame, gazetteer: DataFrame, key: str, address
     return records.where(F.trim(address) != "").select(F.col(key).cast("bigint"), address).mapInArrow(run, "id bigint, city string, kind string, street string, number string")
 
 
+def spellings(street: Column) -> Column:
+    """A name and what is left of it without each of its letters: two names within one edit share one."""
+    one = F.transform(F.sequence(F.lit(0), F.length(street)), lambda i: F.when(i == 0, street).otherwise(F.concat(F.substring(street, F.lit(1), i - 1), F.substring(street, i + 1, F.length(street)))))
+    return F.explode(F.array_distinct(one))
+
+
+def within_edit(a: str, b: str) -> Column:
+    """One letter added, dropped or changed, or two swapped."""
+    swap = (F.length(a) == F.length(b)) & (F.levenshtein(a, b) == 2) & (F.array_sort(F.split(a, "")) == F.array_sort(F.split(b, "")))
+    return (F.levenshtein(a, b) <= 1) | swap
+
+
 def mended_streets(parsed: DataFrame) -> DataFrame:
-    """(street, mended): each street whose name is within one edit of a commoner one (or an equally common one that sorts
-    first), and that one. Names under six letters are left as they are. Distinct names only are compared, by deletions."""
-    streets = cut(parsed.groupBy("street").agg(F.count("*").alias("n")).where(F.length("street") >= 6))
-    variants = F.transform(F.sequence(F.lit(0), F.length("street")), lambda i: F.when(i == 0, F.col("street")).otherwise(F.concat(F.substring("street", F.lit(1), i - 1), F.substring("street", i + 1, F.length("street")))))
-    v = streets.select("street", "n", F.explode(F.array_distinct(variants)).alias("v"))
-    a, b = v.alias("a"), v.alias("b")
-    better = (F.col("b.n") > F.col("a.n")) | (F.col("b.n") == F.col("a.n")) & (F.col("b.street") < F.col("a.street"))
-    pairs = a.join(b, (F.col("a.v") == F.col("b.v")) & better).select(F.col("a.street").alias("street"), F.col("b.street").alias("mended"), F.col("b.n").alias("n")).distinct()
-    swap = (F.length("street") == F.length("mended")) & (F.levenshtein("street", "mended") == 2) & (F.array_sort(F.split("street", "")) == F.array_sort(F.split("mended", "")))
-    return pairs.where((F.levenshtein("street", "mended") <= 1) | swap).groupBy("street").agg(F.max_by("mended", F.struct("n", "mended")).alias("mended"))
+    """(city, street, mended): streets that are another one of their city but for a typing error, and that one.
+
+    A street is mended if its name is within one edit of a commoner one of the city (of equally common ones, one that
+    all cities together have more often) that has RATIO times its addresses or one of its house numbers. Where the city is missing, a name that no city
+    has is mended to the commonest one within an edit. Names under six letters are left as they are. What a street is
+    mended to is not mended further: the mapping is closed.
+    """
+    numbers = cut(parsed.where(F.length("street") >= 6).groupBy("city", "street", "number").agg(F.count("*").alias("n")))
+    in_city = cut(numbers.groupBy("city", "street").agg(F.sum("n").alias("n")))
+    # Streets of one name are in many cities: of two that are equally common in theirs, the one that is commoner everywhere leads.
+    streets = cut(in_city.join(in_city.groupBy("street").agg(F.sum("n").alias("all")), "street").select("city", "street", "n", F.struct("n", "all", F.col("street").alias("last")).alias("order")))
+    v = streets.select("city", "street", "n", "order", spellings(F.col("street")).alias("v"))
+    a, b = v.alias("a"), v.select("city", "v", F.col("street").alias("mended"), F.col("n").alias("m"), F.col("order").alias("rank")).alias("b")
+    near = cut(a.join(b, (F.col("a.city") == F.col("b.city")) & (F.col("a.v") == F.col("b.v")) & (F.col("b.rank") > F.col("a.order"))).select("a.city", "street", "n", "mended", "m", "rank").distinct().where(within_edit("street", "mended")))
+    same = near.join(numbers.select("city", "street", "number"), ["city", "street"]).join(numbers.select("city", F.col("street").alias("mended"), "number"), ["city", "mended", "number"]).select("city", "street", "mended").distinct().withColumn("same", F.lit(True))
+    sure = near.join(same, ["city", "street", "mended"], "left").where((F.col("m") >= RATIO * F.col("n")) | F.col("same"))
+    best = cut(sure.groupBy("city", "street").agg(F.max_by("mended", "rank").alias("mended")))
+    # A street is only mended to one that comes before it in one order, so each round halves the longest chain.
+    while True:
+        step = best.select("city", F.col("street").alias("mended"), F.col("mended").alias("further"))
+        longer = best.join(step, ["city", "mended"])
+        if longer.isEmpty():
+            break
+        best = cut(best.join(step, ["city", "mended"], "left").select("city", "street", F.coalesce("further", "mended").alias("mended")))
+    # Addresses without a city: a spelling that some city has goes where it goes there, another to the commonest within an edit.
+    whole = cut(streets.join(best, ["city", "street"], "left").select("city", "street", "n", F.coalesce("mended", "street").alias("name")))
+    known = whole.where("city <> ''").groupBy("street").agg(F.max_by("name", F.struct("n", "name")).alias("to"), F.sum("n").alias("m"))
+    lone = whole.where("city = ''").select("street", "name").join(known.select("street", F.col("to").alias("own")), "street", "left")
+    x = lone.where("own is null").select("street", spellings(F.col("street")).alias("v"))
+    y = known.select(F.col("street").alias("other"), "to", "m", spellings(F.col("street")).alias("v"))
+    found = x.join(y, "v").where(within_edit("street", "other")).groupBy("street").agg(F.max_by("to", F.struct("m", "other")).alias("far"))
+    # Spellings that were mended to one name go together, where the commonest of them leads.
+    led = lone.join(found, "street", "left").join(known.select(F.col("to").alias("goal"), F.col("m").alias("size")).groupBy("goal").agg(F.max("size").alias("size")), F.coalesce("own", "far") == F.col("goal"), "left")
+    leader = led.groupBy("name").agg(F.max_by("goal", F.struct("size", "goal")).alias("goal"))
+    alone = lone.select("street", "name").join(leader, "name", "left").select(F.lit("").alias("city"), "street", F.coalesce("goal", "name").alias("mended"))
+    return best.where("city <> ''").unionByName(alone).where("street <> mended")
 
 
 def located(records: DataFrame, gazetteer: DataFrame, key: str = "entity_id", address: str = "address") -> DataFrame:
-    """(id, city, kind, street, number): the canonical address of each record that has a street, missing parts filled in."""
+    """(id, city, kind, street, number): the canonical address of each record that has a street, missing parts filled in. Records of
+    one location are those of one (city, kind, street, number): the classes of the problem, one row each."""
     parsed = cut(parsed_addresses(records, gazetteer, key, address))
-    p = parsed.join(mended_streets(parsed), "street", "left").withColumn("street", F.coalesce("mended", "street")).drop("mended")
-
-    def only(rows: DataFrame, by: list[str], part: str) -> DataFrame:
-        """The value of ``part`` per ``by``, where all rows that have one have the same."""
-        return rows.where(F.col(part) != "").groupBy(*by).agg(F.min(part).alias("lo"), F.max(part).alias("hi")).where("lo = hi").select(*by, F.col("lo").alias("only"))
-
-    p = cut(p)
+    p = cut(parsed.join(mended_streets(parsed), ["city", "street"], "left").withColumn("street", F.coalesce("mended", "street")).drop("mended"))
     for part, levels in (("city", (["kind", "street", "number"], ["street", "number"], ["street"])), ("kind", (["city", "street", "number"], ["city", "street"]))):
-        with_part, without = p.where(F.col(part) != ""), p.where(F.col(part) == "")
-        filled = without
+        with_part, filled = p.where(F.col(part) != ""), p.where(F.col(part) == "")
+        # The least and the greatest value per level, each level from the one before.
+        ends = with_part.select("*", F.col(part).alias("lo"), F.col(part).alias("hi"))
         for k, by in enumerate(levels):
-            filled = filled.join(only(with_part, by, part).withColumnRenamed("only", f"only{k}"), by, "left")
+            ends = ends.groupBy(*by).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+            # A value counts where all addresses of the level that have one have the same.
+            filled = filled.join(ends.where("lo = hi").select(*by, F.col("lo").alias(f"only{k}")), by, "left")
         value = F.coalesce(*[F.col(f"only{k}") for k in range(len(levels))], F.lit(""))
         p = with_part.select("id", "city", "kind", "street", "number").unionByName(filled.withColumn(part, value).select("id", "city", "kind", "street", "number"))
     return p
