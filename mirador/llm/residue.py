@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 
 N, BITS, WINDOW = 4, 18, 9
 COVERAGE = 0.5
-#: An n-gram rarer than this in prose is unlikely there.
-RARE = 3e-7
+#: A letter that follows another less often than this is odd there; a text of which this share of the pairs of letters is odd is no
+#: language. Both are shares, alike at every size.
+ODD, ODD_SHARE = 0.008, 0.45
 
 #: Messages of servers and browsers, and notices that scripts, cookies or other browsers are needed.
 NOTICES = """
@@ -81,18 +82,20 @@ def placeholder(text: str) -> bool:
 
 
 def codes(texts: list[str], shape: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """The texts as bytes, one a character, each led by N blanks, and where each begins. Digits are one sign, case is folded."""
+    """The texts as numbers, one a character of any script, each led by N blanks, and where each begins. Digits are one sign, case is
+    folded; for shapes all letters are one sign."""
     joined = [" " * N + t for t in texts]
     sizes = np.fromiter(map(len, joined), np.int64, len(joined))
-    raw = np.frombuffer("".join(joined).lower().replace("İ", "i").encode("latin-1", "replace"), np.uint8) if joined else np.zeros(0, np.uint8)
-    if raw.size != sizes.sum():  # lower case changed the length of a rare letter
-        raw = np.frombuffer("".join("".join(c if len(c.lower()) != 1 else c.lower() for c in t) for t in joined).encode("latin-1", "replace"), np.uint8)
-    raw = _TABLES[shape][raw]
-    return raw, np.concatenate([[0], np.cumsum(sizes)])
+    whole = "".join(joined)
+    low = whole.lower()
+    if len(low) != len(whole):  # lower case changed the length of a rare letter
+        low = "".join(c if len(c.lower()) != 1 else c.lower() for c in whole)
+    raw = np.frombuffer(low.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return np.where(raw < 256, _TABLES[shape][np.minimum(raw, 255)], ord("a") if shape else raw), np.concatenate([[0], np.cumsum(sizes)])
 
 
 def _table(shape: bool) -> np.ndarray:
-    t = np.arange(256, dtype=np.uint8)
+    t = np.arange(256, dtype=np.uint32)
     t[ord("0") : ord("9") + 1] = ord("0")
     t[[9, 10, 13, 160]] = ord(" ")
     if shape:
@@ -111,27 +114,38 @@ def grams(raw: np.ndarray) -> np.ndarray:
     for k in range(N):
         lag = np.empty_like(raw)
         lag[:k], lag[k:] = 32, raw[: raw.size - k] if k else raw
-        h = h * np.uint64(1099511628211) + lag
+        h = h * np.uint64(1099511628211) + lag.astype(np.uint64)
     h ^= h >> np.uint64(29)
     return ((h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BITS)).astype(np.int64)
 
 
-def gram_counts(texts: DataFrame) -> np.ndarray:
-    """How often each bucket occurs over all texts of the column ``text``: 2^BITS numbers, whatever the data."""
+def letter_pairs(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each position the pair of letters that ends there, as one number, and whether it is one (of the first 256 signs)."""
+    low = np.minimum(raw, 255).astype(np.int64)
+    letter = _LETTER[low] & (raw < 256)
+    both = letter & np.concatenate([[False], letter[:-1]])
+    return np.concatenate([[0], low[:-1]]) * 256 + low, both
+
+
+def gram_counts(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """How often each bucket of n-grams and each pair of letters occurs over all texts of the column ``text``: 2^BITS and 2^16
+    numbers, whatever the data."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << BITS, np.int64)
+        total = np.zeros((1 << BITS) + (1 << 16), np.int64)
         for b in batches:
             for lo in range(0, b.num_rows, 4000):
                 raw, _ = codes([t for t in b.column(0).slice(lo, 4000).to_pylist() if t])
-                total += np.bincount(grams(raw), minlength=1 << BITS)
+                total[: 1 << BITS] += np.bincount(grams(raw), minlength=1 << BITS)
+                pair, both = letter_pairs(raw)
+                total[1 << BITS :] += np.bincount(pair[both], minlength=1 << 16)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["g", "n"])
 
     rows = texts.select("text").mapInArrow(run, "g bigint, n bigint").groupBy("g").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(1 << BITS)
+    out = np.zeros((1 << BITS) + (1 << 16))
     out[rows["g"].to_numpy(dtype=np.int64)] = rows["n"].to_numpy(dtype=float)
-    return out
+    return out[: 1 << BITS], out[1 << BITS :]
 
 
 def phrase_counts(phrases: str, shape: bool = False) -> np.ndarray:
@@ -140,11 +154,13 @@ def phrase_counts(phrases: str, shape: bool = False) -> np.ndarray:
 
 
 def log_ratio(seen: np.ndarray, prose: np.ndarray) -> np.ndarray:
-    """Per bucket the log likelihood ratio against prose, within [-3, 5]; an n-gram unknown to both says nothing."""
+    """Per bucket the log likelihood ratio against prose, within [-3, 5]; an n-gram that the class does not know speaks against it.
+
+    Both are shares of their class, so the ratios are alike at every size of the corpus.
+    """
     p, q = (seen + 0.02) / (seen.sum() + 1), (prose + 0.5) / (prose.sum() + 1)
     ratio = np.clip(np.log(p / q), -3, 5)
-    unknown = (seen == 0) & (prose / max(1, prose.sum()) < RARE)
-    return np.where(unknown, 0.0, np.where(seen == 0, np.minimum(ratio, -0.5), ratio)).astype(np.float32)
+    return np.where(seen == 0, np.minimum(ratio, -0.5), ratio).astype(np.float32)
 
 
 def window_mean(x: np.ndarray, width: int = WINDOW) -> np.ndarray:
@@ -160,10 +176,11 @@ class Models:
     ``notice`` and ``filler`` are the counts of texts found in a round before, on top of the phrases.
     """
 
-    def __init__(self, prose: np.ndarray, notice: np.ndarray | None = None, filler: np.ndarray | None = None):
+    def __init__(self, prose: np.ndarray, pairs: np.ndarray, notice: np.ndarray | None = None, filler: np.ndarray | None = None):
+        follows = pairs.reshape(256, 256)
+        self.odd = ((follows + 0.05) / (follows.sum(axis=1, keepdims=True) + 1) < ODD).ravel()
         self.notice = log_ratio(phrase_counts(NOTICES) * 3 + (0 if notice is None else notice), prose)
         self.filler = log_ratio(phrase_counts(FILLER) * 3 + (0 if filler is None else filler), prose)
-        self.rare = prose / max(1, prose.sum()) < RARE
         framed = [f.format(s) for s in SHAPES for f in ("{}", "name {} name", "name, {}, name", "name ({}) name", "name. {}. name")]
         self.shape = phrase_counts("\n".join(framed), True) > 0
 
@@ -174,20 +191,23 @@ class Models:
         raw, at = codes(texts)
         g = grams(raw)
         sums = lambda x: np.add.reduceat(x.astype(np.int64), at[:-1])
-        letter, solid = _LETTER[raw], raw != 32
+        letter, solid = _LETTER[np.minimum(raw, 255)], raw != 32
         notice, filler = window_mean(self.notice[g]) > 0.6, window_mean(self.filler[g]) > 0.6
-        rare = window_mean(self.rare[g] & letter) > 0.5
-        covered = (notice | filler | rare) & solid
+        covered = (notice | filler) & solid
         # Names (a capital and small letters) may stand in a notice as in any text: where not covered they don't count.
         name = _names(texts, letter) if raw.size else letter
         own, rest = sums(covered), sums(solid & ~covered & ~name)
-        by = np.stack([sums(notice & solid), sums((filler | rare) & solid)])
+        by = np.stack([sums(notice & solid), sums(filler & solid)])
         residue = (own >= np.minimum(8, sums(solid))) & (own >= COVERAGE * (own + rest)) & (by.max(axis=0) >= 0.3 * (own + rest)) & (own >= 0.2 * sums(solid))
-        residue |= sums(self.rare[g] & letter) >= 0.45 * sums(solid)
         out = np.where(residue, 1 + by.argmax(axis=0), 0).astype(np.int8)
+        # What is typed at random: most letters follow one that they hardly ever follow.
+        pair, both = letter_pairs(raw)
+        number = sums(both)
+        residue = np.where((number >= 4) & (sums(self.odd[pair] & both) >= ODD_SHARE * number), 2, 0)
+        out = np.where(out == 0, residue, out).astype(np.int8)
         # Placeholders: signs in a context of the shape model; the exact check follows.
         shaped, _ = codes(texts, True)
-        for k in np.flatnonzero(sums(self.shape[grams(shaped)] & _SIGN[raw]) > 0):
+        for k in np.flatnonzero(sums(self.shape[grams(shaped)] & _SIGN[np.minimum(raw, 255)]) > 0):
             if placeholder(texts[k]):
                 out[k] = 3
         for k in np.flatnonzero((out == 0) & (sums(solid) < 60)):
@@ -198,10 +218,7 @@ class Models:
 
 def _names(texts: list[str], letter: np.ndarray) -> np.ndarray:
     """Which characters belong to words of a capital and small letters, by positions of ``codes``."""
-    text = "".join([" " * N + t for t in texts])
-    upper = np.frombuffer(text.encode("latin-1", "replace"), np.uint8)
-    if upper.size != letter.size:
-        return np.zeros(letter.size, bool)
+    upper = np.frombuffer("".join([" " * N + t for t in texts]).encode("utf-32-le", "surrogatepass"), np.uint32)
     high = ((upper >= 65) & (upper <= 90)) | ((upper >= 192) & (upper < 223) & (upper != 215))
     start = letter & ~np.concatenate([[False], letter[:-1]])
     first = start & high & np.concatenate([letter[1:] & ~high[1:], [False]])
@@ -220,8 +237,8 @@ def find_residue(texts: DataFrame) -> DataFrame:
     to the tasks have 2^BITS entries. Repeated rows are each judged; with unique ids none comes out twice.
     """
     present = texts.where(F.col("text").rlike(r"(?U)\S")).select("table_name", "record_id", "text")
-    prose = gram_counts(present)
-    models = Models(prose)
+    prose, pairs = gram_counts(present)
+    models = Models(prose, pairs)
 
     def found_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((3, 1 << BITS), np.int64)
@@ -239,7 +256,7 @@ def find_residue(texts: DataFrame) -> DataFrame:
     rows = present.select("text").mapInArrow(found_counts, "k bigint, g bigint, n bigint").groupBy("k", "g").agg(F.sum("n").alias("n")).toPandas()
     seen = np.zeros((3, 1 << BITS))
     seen[rows["k"].to_numpy(dtype=np.int64), rows["g"].to_numpy(dtype=np.int64)] = rows["n"].to_numpy(dtype=float)
-    models = Models(np.maximum(0, prose - seen[1] - seen[2]), seen[1], seen[2])
+    models = Models(np.maximum(0, prose - seen[1] - seen[2]), pairs, seen[1], seen[2])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
