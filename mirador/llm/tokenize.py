@@ -26,6 +26,8 @@ PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 #: Pieces that a worker remembers, and the characters up to which it does. Beyond it forgets all: a cache, not a limit.
 REMEMBER, REMEMBER_CHARS = 500_000, 64
+#: Pairs of tokens of which a worker remembers whether they are compatible, likewise.
+REMEMBER_PAIRS = 2_000_000
 
 
 def printable_bytes() -> dict[str, int]:
@@ -81,6 +83,8 @@ class TrieEncoder:
                 before, left = x[0], x[2]
             else:
                 before, right = y[0] + 1, y[1]
+        if len(self.pairs) >= REMEMBER_PAIRS:
+            self.pairs.clear()
         self.pairs[key] = ok
         return ok
 
@@ -166,14 +170,20 @@ def encode_documents(docs: DataFrame, text: str = "text", key: str = "doc_id", v
 
     Null and empty texts have the empty list. Text that spells a special token is ordinary text. Repeated rows and keys
     stay as they are; other columns are not read. No shuffle: each Arrow batch is encoded where it is read, and a hot
-    source or document only makes a longer batch. ``vocabulary`` must be readable by the executors under that path.
+    source or document only makes a longer batch. The driver reads ``vocabulary`` and sends it to the executors as a file.
     """
+    import os
+
+    from pyspark import SparkFiles
+
+    name = os.path.basename(vocabulary)
+    docs.sparkSession.sparkContext.addFile(vocabulary)
     kind = docs.schema[key].dataType.simpleString()
     narrow = docs.select(key, text)
     at_key, at_text = 0, 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(vocabulary)
+        enc = encoder(SparkFiles.get(name))
         for b in batches:
             for lo in range(0, b.num_rows, 1000):
                 part = b.slice(lo, 1000)
