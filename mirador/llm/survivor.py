@@ -28,7 +28,7 @@ UNKNOWN = (
     "sense dades", "sense descripcio", "no disponible ara", "pendent", "desconegut", "desconeguda", "proximamente", "coming soon",
 )
 ACCENTED, PLAIN = "áàâäãåéèêëíìîïóòôöõúùûüñç", "aaaaaaeeeeiiiiooooouuuunc"
-#: White space to trim, and the longest value that may be a mere statement.
+#: White space to trim, and the most letters and digits of a mere statement.
 BLANKS, STATEMENT = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000", 60
 #: Rows of one group that share this many first characters are compared for beginnings in one task.
 HEAD = 64
@@ -76,8 +76,9 @@ def usable_value(field: Field) -> Column:
         ok = ~F.isnan(lat) & ~F.isnan(lng) & lat.between(-90, 90) & lng.between(-180, 180) & ((lat != 0) | (lng != 0))
         return F.when(ok, F.concat_ws(",", lat.cast("string"), lng.cast("string")))
     value = stripped(c) if field.kind == "description" else trimmed(c)
-    # Statements are short, so only short values are folded.
-    empty = (value == "") | (F.length(value) <= STATEMENT) & folded(value).isin("", *UNKNOWN)
+    # Statements have few letters, so only values with few are folded; a longer value is told by its first ones.
+    few = (F.length(value) <= STATEMENT) | F.rlike(value, F.lit(rf"^(?:[^\p{{L}}\p{{N}}]*[\p{{L}}\p{{N}}]){{0,{STATEMENT}}}[^\p{{L}}\p{{N}}]*$"))
+    empty = (value == "") | few & folded(value).isin("", *UNKNOWN)
     return F.when(~empty, value)
 
 
