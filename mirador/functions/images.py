@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,10 +31,8 @@ def is_noise(url: Column, alt: Column | None = None, metadata: Column | None = N
     name = F.substring_index(p, "/", -1)
     k = key(F.concat_ws(" ", p, text(F.lit("") if alt is None else alt), text(F.lit("") if metadata is None else metadata)))
     dense = F.replace(k, F.lit(" "), F.lit(""))
-    hit = lambda s: F.contains(dense, F.lit(s))
-    has = hit(dims.BLOCKED_SUBSTRINGS[0])
-    for s in dims.BLOCKED_SUBSTRINGS[1:]:
-        has = has | hit(s)
+    # One pattern, so that the key is computed once.
+    has = F.rlike(dense, F.lit("|".join(map(re.escape, dims.BLOCKED_SUBSTRINGS))))
     return F.rlike(p, F.lit(r"\.(?:svg|ico)$")) | F.startswith(name, F.lit("-")) | F.arrays_overlap(F.split(k, " "), _list(dims.BLOCKED_TOKENS)) | has | key(name).isin(*dims.SOCIAL_FILES)
 
 

@@ -29,12 +29,16 @@ def name_type(name_key: Column) -> Column:
 def keyword_scores(contexts: DataFrame, entity: str = "entity_id") -> DataFrame:
     """(entity, type, score, first, signals) from contexts (entity, text, weight): per keyword and context that has it, the weight.
 
-    The keywords are a literal array, so each text is scanned where it is read, without a join.
+    A text's runs of one to four words are met with the keywords by a set, once per text, without a join.
     """
-    array = F.array(*[F.struct(F.lit(k).alias("keyword"), F.lit(t).alias("type"), F.lit(i).alias("ord")) for i, (k, t) in enumerate(dims.TYPE_KEYWORDS)])
-    k = contexts.select(entity, "weight", key(F.col("text")).alias("k"))
-    hits = k.select(entity, "weight", F.explode(F.filter(array, lambda x: has_keyword(F.col("k"), x["keyword"]))).alias("x"))
-    return hits.groupBy(entity, F.col("x.type").alias("type")).agg(F.sum("weight").alias("score"), F.min("x.ord").alias("first"))
+    known = F.array(*[F.lit(k) for k, _ in dims.TYPE_KEYWORDS])
+    longest = max(len(k.split()) for k, _ in dims.TYPE_KEYWORDS)
+    w = F.col("w")
+    run = lambda n: w if n == 1 else F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " "))).otherwise(F.array().cast("array<string>"))
+    k = contexts.select(entity, "weight", F.split(key(F.col("text")), " ").alias("w"))
+    hits = k.select(entity, "weight", F.explode(F.array_intersect(F.concat(*[run(n) for n in range(1, longest + 1)]), known)).alias("keyword"))
+    types = F.broadcast(dims.keywords(contexts.sparkSession))  # a few dozen keywords
+    return hits.join(types, "keyword").groupBy(entity, "type").agg(F.sum("weight").alias("score"), F.min("ord").alias("first"))
 
 
 def contexts(entities: DataFrame, evidence: DataFrame) -> DataFrame:

@@ -6,17 +6,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import distance_km, search_radius
-from ..functions.text import ascii_fold, compact, text
+from ..functions.text import ascii_fold, compact, let, text
 
 
 def city_of(pages: DataFrame, cities: DataFrame) -> DataFrame:
     """(page_id, city): the first known city (key, name, ord) named in a page's url, title or description. ``cities`` is a short table."""
     rows = sorted((r["ord"], r["key"], r["name"]) for r in cities.collect())  # the known cities
+    known = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(n).alias("n")) for _, k, n in rows])
     hay = F.lower(F.concat_ws(" ", text(F.col("url")), text(F.col("title")), text(F.col("description"))))
-    out = F.lit("")
-    for _, k, n in reversed(rows):
-        out = F.when(F.contains(hay, F.lit(k)), n).otherwise(out)
-    return pages.select("page_id", out.alias("city"))
+    hit = let(hay, lambda h: F.get(F.filter(known, lambda c: F.contains(h, c["k"])), F.lit(0))["n"])
+    return pages.select("page_id", text(hit).alias("city"))
 
 
 def near_cities(points: DataFrame, cities: DataFrame, degrees: float = 0.5) -> DataFrame:
@@ -62,8 +61,10 @@ def external_evidence(entities: DataFrame, evidence: DataFrame, summaries: DataF
 def geosearch_images(entities: DataFrame, files: DataFrame, degrees: float = 0.02) -> DataFrame:
     """(entity_id, url, metres): files (url, lat, lng) around entities without images, within the radius that their type asks for."""
     e = entities.where((F.coalesce(F.size("images"), F.lit(0)) <= 0) & F.col("coordinates.lat").between(-90, 90) & F.col("coordinates.lng").between(-180, 180)).select("entity_id", F.col("coordinates.lat").alias("elat"), F.col("coordinates.lng").alias("elng"), search_radius(F.col("types")).alias("r"))
-    around = lambda c: F.explode(F.sequence(F.floor(c / degrees).cast("int") - 1, F.floor(c / degrees).cast("int") + 1))
-    near = e.withColumn("y", around(F.col("elat"))).withColumn("x", around(F.col("elng")))
+    # The cells that the radius reaches; meridians lie closer towards the poles.
+    cells = lambda c, reach: F.explode(F.sequence(F.floor((c - reach) / degrees).cast("int"), F.floor((c + reach) / degrees).cast("int")))
+    reach = F.col("r") / 111_000.0
+    near = e.withColumn("y", cells(F.col("elat"), reach)).withColumn("x", cells(F.col("elng"), reach / F.greatest(F.lit(0.001), F.cos(F.radians(F.least(F.lit(90.0), F.abs("elat") + reach))))))
     f = files.select("url", "lat", "lng", F.floor(F.col("lat") / degrees).cast("int").alias("y"), F.floor(F.col("lng") / degrees).cast("int").alias("x"))
     m = distance_km(F.col("elat"), F.col("elng"), F.col("lat"), F.col("lng")) * 1000
     return near.join(f, ["y", "x"]).withColumn("metres", m).where("metres <= r").select("entity_id", "url", F.round("metres", 3).alias("metres"))

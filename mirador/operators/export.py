@@ -116,7 +116,7 @@ def graph_payloads(entities: DataFrame, schema: DataFrame, prefix: str = "kb", d
         F.when(F.size(related_urls()) > 0, related_urls()).alias("relatedTo"),
         F.when(reach, F.array(F.struct(one("email").alias("email"), one("phone").alias("telephone"), link.alias("url")))).alias("hasContactPoint"),
         F.when(placed | (text(F.col("address")) != ""), F.array(F.struct(F.nullif("address", F.lit("")).alias("streetAddress"), F.when(placed, lat).alias("lat"), F.when(placed, lng).alias("long"), F.when(placed, wkt(lat, lng)).alias("asWkt")))).alias("hasLocation"),
-        F.when(F.size(pics) > 0, F.struct(F.get(pics, F.lit(0)).alias("mainImage"), F.slice(pics, 2, 1000).alias("secondaryImage"))).alias("hasMultimedia"),
+        F.when(F.size(pics) > 0, F.struct(F.get(pics, F.lit(0)).alias("mainImage"), F.slice(pics, 2, F.size(pics)).alias("secondaryImage"))).alias("hasMultimedia"),
         F.when(F.size("types") > 0, F.filter("types", lambda t: text(t) != "")).alias("hasAdditionalType"),
         F.when(event, F.nullif("startDate", F.lit(""))).alias("startsAt"), F.when(event, F.nullif("endDate", F.lit(""))).alias("endsAt"), F.when(event, uri).alias("eventType"),
     )
@@ -180,13 +180,51 @@ def checked_items(items: DataFrame, dti: str | None = None, inline: bool = False
     return items.select(F.col("pos").cast("bigint"), "item").mapInArrow(run, "pos bigint, item string, valid boolean")
 
 
-def prompts(pages: DataFrame, blocks: DataFrame) -> DataFrame:
-    """(page_id, prompt): what a language model would be asked about a page, as JSON: its fields, 25 images, 15 blocks of 400 characters.
-
-    The limits are the prompt's own; nothing is sent."""
+#: What a language model is asked to do, in the language of the pages; our own wording.
+TASK = "Lee la página y devuelve las entidades turísticas o culturales que describe, como JSON según el esquema."
+IDENTITY = (
+    "Una entidad es lo que la página describe (un lugar, un recurso, un evento, un servicio), no su dirección web.",
+    "El nombre es el que se usa en el texto; nunca una URL, un dominio ni una entrada de menú.",
+    "Una página puede tener varias entidades; varios bloques sobre la misma refuerzan una sola.",
+)
+PROCEDURE = (
+    "Aparta primero lo que rodea al contenido: menús, avisos, botones, iconos y textos legales.",
+    "Decide de qué trata cada bloque y qué tipos de la lista le corresponden.",
+    "Toma los datos de structured_data cuando los haya; si no, del texto y de los bloques.",
+    "Asigna a cada entidad las imágenes de su bloque, sin logotipos ni adornos, cada una una vez.",
+)
+RULES = (
+    "Usa solo tipos de tourist_types.", "Deja vacío lo que la página no diga; no inventes coordenadas ni identificadores.", "Da en score tu confianza, de 0 a 1, y en evidence la frase que la sostiene.", "Prefiere pocas entidades bien fundadas.",
+)
+#: Limits of the prompt: images, blocks, images a block, characters of a block and of the page's text, items of structured data.
+PROMPT_IMAGES, PROMPT_BLOCKS, PROMPT_BLOCK_IMAGES, PROMPT_BLOCK_TEXT, PROMPT_TEXT, PROMPT_DATA = 25, 15, 4, 400, 10_000, 8
+_ANSWER = "struct<entities:array<struct<name:string,types:array<string>,score:double,sourceUrl:string,url:string,relatedUrls:array<string>,address:string,phone:string,email:string,coordinates:struct<lat:double,lng:double>,shortDescription:string,longDescription:string,description:string,images:array<string>,wikidataId:string,evidence:string>>>"
+
+
+def prompts(pages: DataFrame, blocks: DataFrame, data: DataFrame | None = None, types: list[str] | None = None) -> DataFrame:
+    """(page_id, prompt): what a language model is asked about a page, as JSON: task, what an entity is, procedure, types to choose from,
+    form of the answer, rules, and the page with its images, text, blocks and structured data.
+
+    The page's text is that of its block of kind page, the first by id; blocks without title and images are left out.
+    ``data`` is (page_id, pos, item), JSON texts of the page's structured data. The limits are the prompt's own; nothing is sent.
+    """
     from pyspark.sql import Window
 
-    b = blocks.where((text(F.col("title")) != "") | (F.size("images") > 0)).withColumn("n", F.row_number().over(Window.partitionBy("page_id").orderBy("position", "block_uid"))).where("n <= 15")
-    body = b.groupBy("page_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "title", F.substring("text", 1, 400).alias("text")))), lambda x: F.struct(x["title"].alias("title"), x["text"].alias("text"))).alias("blocks"))
-    images = F.transform(F.slice("images", 1, 25), lambda i: F.struct(i["url"].alias("url"), i["alt"].alias("alt")))
-    return pages.join(body, "page_id", "left").select("page_id", F.to_json(F.struct("url", "title", "description", "language", images.alias("images"), "blocks")).alias("prompt"))
+    first = lambda df, by, order, n: df.withColumn("n", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("n") <= n)
+    b = first(blocks.where((F.col("kind") != "page") & ((text(F.col("title")) != "") | (F.size("images") > 0))), "page_id", ["position", "block_uid"], PROMPT_BLOCKS)
+    pics = F.transform(F.slice(F.coalesce("images", F.array().cast("array<struct<url:string,alt:string,source:string,index:string,context:string>>")), 1, PROMPT_BLOCK_IMAGES), lambda i: F.struct(i["url"].alias("url"), text(i["alt"]).alias("alt")))
+    one = F.struct("n", F.col("block_id").alias("id"), text(F.col("title")).alias("title"), F.substring(text(F.col("text")), 1, PROMPT_BLOCK_TEXT).alias("text"), pics.alias("images"))
+    body = b.groupBy("page_id").agg(F.transform(F.array_sort(F.collect_list(one)), lambda x: x.dropFields("n")).alias("blocks"))
+    whole = blocks.where("kind = 'page'").groupBy("page_id").agg(F.min_by("text", "block_uid").alias("text"))
+    p = pages.join(body, "page_id", "left").join(whole, "page_id", "left")
+    if data is not None:
+        items = first(data, "page_id", ["pos"], PROMPT_DATA).groupBy("page_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "item"))), lambda x: x["item"]).alias("data"))
+        p = p.join(items, "page_id", "left")
+    else:
+        p = p.withColumn("data", F.lit(None).cast(_NONE))
+    images = F.transform(F.slice(F.coalesce("images", F.array().cast("array<struct<url:string,alt:string,source:string,index:string,context:string>>")), 1, PROMPT_IMAGES), lambda i: F.struct(text(i["url"]).alias("url"), text(i["alt"]).alias("alt"), text(i["context"]).alias("context"), text(i["index"]).alias("index")))
+    none = F.array().cast("array<struct<id:string,title:string,text:string,images:array<struct<url:string,alt:string>>>>")
+    page = F.struct(*[text(F.col(c)).alias(c) for c in ("url", "title", "description", "language")], images.alias("images"), F.substring(text(F.col("text")), 1, PROMPT_TEXT).alias("text"), F.coalesce("blocks", none).alias("blocks"), F.coalesce("data", F.array().cast(_NONE)).alias("structured_data"))
+    listed = lambda xs: F.array(*map(F.lit, xs))
+    prompt = F.struct(F.lit(TASK).alias("task"), listed(IDENTITY).alias("identity_contract"), listed(PROCEDURE).alias("procedure"), listed(types or dims.ALLOWED).alias("tourist_types"), F.lit(_ANSWER).alias("schema"), listed(RULES).alias("rules"), page.alias("page"))
+    return p.select("page_id", F.to_json(prompt).alias("prompt"))

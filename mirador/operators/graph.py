@@ -39,21 +39,38 @@ def page_links(pages: DataFrame, home: str | None = None, lang: str = "") -> Dat
     return full.where((domain(F.col("link")) == own) & ~skipped(F.col("link")) & ~foreign_language(F.col("link"), lang)).distinct()
 
 
-def crawl_order(edges: DataFrame, seeds: DataFrame, done: DataFrame | None = None) -> DataFrame:
+def crawl_order(edges: DataFrame, seeds: DataFrame, done: DataFrame | None = None, most_pages: int | None = None) -> DataFrame:
     """(url, depth): pages reachable from the seeds over (page, link) edges, breadth first, none of ``done``; by a join a round.
 
-    The visited set is anti-joined each round, so a round costs its own edges; lineage is cut each round.
+    ``most_pages`` ends the crawl when so many pages are visited, those of ``done`` included; of the last level the first by
+    address stay. The visited set is anti-joined each round, so a round costs its own edges; lineage is cut each round.
     """
     skip = done.select("url") if done is not None else None
     level = seeds.select("url").distinct()
-    level = cut((level.join(skip, "url", "left_anti") if skip is not None else level).withColumn("depth", F.lit(0)))
+    left = None if most_pages is None else max(0, most_pages - (done.select("url").distinct().count() if done is not None else 0))
+
+    def within(pages: DataFrame) -> DataFrame:
+        """The level, or as much of it as may still be visited."""
+        nonlocal left
+        pages = cut(pages)
+        if left is None:
+            return pages
+        n = pages.count()
+        if n > left:
+            pages = cut(pages.orderBy("url").limit(left))  # the limit is the crawl's own
+        left = max(0, left - n)
+        return pages
+
+    level = within((level.join(skip, "url", "left_anti") if skip is not None else level).withColumn("depth", F.lit(0)))
     seen = level
     e = edges.select("page", "link").distinct()
     for d in count(1):
         nxt = level.join(e, level["url"] == e["page"]).select(F.col("link").alias("url")).distinct().join(seen.select("url"), "url", "left_anti")
         if skip is not None:
             nxt = nxt.join(skip, "url", "left_anti")
-        level = cut(nxt.withColumn("depth", F.lit(d)))
+        if left == 0:
+            return seen
+        level = within(nxt.withColumn("depth", F.lit(d)))
         if level.isEmpty():
             return seen
         seen = cut(seen.unionByName(level))

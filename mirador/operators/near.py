@@ -18,14 +18,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.tables import cut
+from ..sources.tables import checked_broadcast, cut
 
 #: Metres.
 EARTH = 6_371_000.0
 #: Points per cell aimed at; sample rows per cell; most cells. The planes' size is bounded by MOST_CELLS, whatever the data.
-CELL, SAMPLE_PER_CELL, MOST_CELLS = 4_000, 24, 1 << 13
+CELL, SAMPLE_PER_CELL, MOST_CELLS = 4_000, 16, 1 << 15
 #: A cell with more points than this is searched in blocks, each by a task of its own.
-BLOCK = 12_000
+BLOCK = 60_000
+#: A tile of the sweep with more points than this is spread over tasks.
+CROWD = 50_000
 LEAF = 48
 
 
@@ -157,11 +159,9 @@ def pairs_within(points: DataFrame, radius: float, key: str = "point_id", lat: s
 
     placed = usable.mapInArrow(place, "cell int, home boolean, id bigint, lat double, lng double")
     sizes = cut(placed.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > block))
-    # At most MOST_CELLS rows, whatever the data.
-    large = {r["cell"]: math.ceil(r["n"] / block) for r in sizes.collect()}
-    if large:
-        k = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in large.items() for x in kv]), F.col("cell")), F.lit(1))
-        placed = placed.withColumn("k", k).withColumn("own", F.pmod(F.xxhash64("id"), F.col("k")).cast("int"))
+    if not sizes.isEmpty():
+        large = F.broadcast(sizes.select("cell", F.ceil(F.col("n") / block).cast("int").alias("k")))  # at most MOST_CELLS rows, whatever the data
+        placed = placed.join(large, "cell", "left").withColumn("k", F.coalesce("k", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("id"), F.col("k")).cast("int"))
         # The row of block i meets block j in the task (smaller, larger).
         placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
         placed = placed.select("cell", "home", "id", "lat", "lng", "own", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"))
@@ -193,26 +193,32 @@ def pairs_within(points: DataFrame, radius: float, key: str = "point_id", lat: s
     return found.select(F.col("a").alias(f"{key}_a"), F.col("b").alias(f"{key}_b"))
 
 
-def points_in_regions(points: DataFrame, regions: DataFrame, key: str = "point_id", lat: str = "lat", lng: str = "lng", region: str = "region_id", ring: str = "ring", band: float = 0.25) -> DataFrame:
+def points_in_regions(points: DataFrame, regions: DataFrame, key: str = "point_id", lat: str = "lat", lng: str = "lng", region: str = "region_id", ring: str = "ring", band: float = 0.25, tile: float = 0.5, crowd: int = CROWD) -> DataFrame:
     """(``key``, ``region``): points inside polygons, by plane sweep over the polygons' edges.
 
     ``ring`` is an array of (lat, lng) structs, closed or not, in the plane of degrees (no polygon crosses the date line).
     Edges are cut into bands of ``band`` degrees of latitude (and so is the sweep); in a task a line sweeps its band
     northward, taking up and dropping edges, and counts the edges to the west of each point: an odd number is inside. An
     edge holds its southern end and not its northern, so no vertex counts twice; a point on an edge counts as east of it.
-    Null rings and rings under three corners contain nothing; several polygons may contain one point. Bands are salted
-    by the points, so a crowded band is spread over tasks; edges are copied to its salts.
+    Null rings and rings under three corners contain nothing; several polygons may contain one point. Bands are cut into
+    tiles of ``tile`` degrees of longitude, and an edge goes to the tiles that its polygon reaches, so a point meets edges of
+    polygons around it only. A tile with more than ``crowd`` points is spread over tasks by the points, and only its edges copied.
     """
-    salts = 16
     usable = points.where(usable_point(F.col(lat), F.col(lng))).select(F.col(key).cast("bigint").alias("id"), F.col(lat).cast("double").alias("y"), F.col(lng).cast("double").alias("x"))
-    p = usable.select(F.floor(F.col("y") / band).alias("band"), F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int").alias("salt"), "id", "y", "x", *[F.lit(None).cast("double").alias(c) for c in ("y2", "x2")])
+    p = usable.withColumns({"band": F.floor(F.col("y") / band), "tile": F.floor(F.col("x") / tile)})
+    # At most as many rows as tiles of the globe, and only the crowded ones.
+    crowded = checked_broadcast(cut(p.groupBy("band", "tile").agg(F.count("*").alias("n")).where(F.col("n") > crowd).select("band", "tile", F.ceil(F.col("n") / crowd).cast("int").alias("parts"))))
+    parts = F.coalesce("parts", F.lit(1))
+    p = p.join(crowded, ["band", "tile"], "left").select("band", "tile", F.pmod(F.xxhash64("id"), parts).cast("int").alias("salt"), "id", "y", "x", *[F.lit(None).cast("double").alias(c) for c in ("y2", "x2")])
     corners = regions.where(F.size(ring) >= 3).select(F.col(region).cast("bigint").alias("id"), F.col(ring).alias("r"))
-    edges = corners.select("id", F.posexplode("r").alias("k", "u"), F.element_at("r", (F.col("k") + 1) % F.size("r") + 1).alias("v"))
+    corners = corners.withColumns({"west": F.array_min(F.transform("r", lambda c: c["lng"])), "east": F.array_max(F.transform("r", lambda c: c["lng"]))})
+    edges = corners.select("id", "west", "east", F.posexplode("r").alias("k", "u"), F.element_at("r", (F.col("k") + 1) % F.size("r") + 1).alias("v"))
     rising = F.col("u.lat") < F.col("v.lat")
-    edges = edges.where(F.col("u.lat") != F.col("v.lat")).select("id", F.when(rising, F.col("u")).otherwise(F.col("v")).alias("s"), F.when(rising, F.col("v")).otherwise(F.col("u")).alias("n"))
+    edges = edges.where(F.col("u.lat") != F.col("v.lat")).select("id", "west", "east", F.when(rising, F.col("u")).otherwise(F.col("v")).alias("s"), F.when(rising, F.col("v")).otherwise(F.col("u")).alias("n"))
     bands = F.sequence(F.floor(F.col("s.lat") / band), F.floor(F.col("n.lat") / band))
-    e = edges.withColumn("band", F.explode(bands)).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    e = e.select("band", "salt", "id", F.col("s.lat").alias("y"), F.col("s.lng").alias("x"), F.col("n.lat").alias("y2"), F.col("n.lng").alias("x2"))
+    e = edges.withColumn("band", F.explode(bands)).withColumn("tile", F.explode(F.sequence(F.floor(F.col("west") / tile), F.floor(F.col("east") / tile))))
+    e = e.join(crowded, ["band", "tile"], "left").withColumn("salt", F.explode(F.sequence(F.lit(0), parts - 1)))
+    e = e.select("band", "tile", "salt", "id", F.col("s.lat").alias("y"), F.col("s.lng").alias("x"), F.col("n.lat").alias("y2"), F.col("n.lng").alias("x2"))
 
     def sweep(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         g = pd.concat(list(rows))
@@ -242,5 +248,5 @@ def points_in_regions(points: DataFrame, regions: DataFrame, key: str = "point_i
         if a:
             yield pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
 
-    found = p.unionByName(e).groupBy("band", "salt").applyInPandas(sweep, "a bigint, b bigint")
+    found = p.unionByName(e).groupBy("band", "tile", "salt").applyInPandas(sweep, "a bigint, b bigint")
     return found.select(F.col("a").alias(key), F.col("b").alias(region))

@@ -100,8 +100,29 @@ def crawl_report(pages: DataFrame, by: str = "site") -> DataFrame:
     return pages.groupBy(by).agg(F.count("*").alias("pages"), F.count_if(F.col("status") == "ok").alias("ok"), F.count_if(F.col("status") != "ok").alias("failed"), F.count_if(text(F.col("title")) == "").alias("untitled"), F.sum(F.coalesce(F.size("errors"), F.lit(0))).alias("errors"), (F.count("*") - F.count_distinct("url")).alias("repeated"))
 
 
-def markdown_cards(entities: DataFrame) -> DataFrame:
-    """(entity_id, card): the entity's part of the report."""
+def markdown_tables(entities: DataFrame, evidence: DataFrame, pages: DataFrame, day: str) -> DataFrame:
+    """(part, pos, line): the head of the report and the rows of its tables by type and by page, most entities first."""
+    from pyspark.sql import Window
+
+    row = lambda c: F.concat(F.lit("| "), c, F.lit(" | "), F.col("entities").cast("string"), F.lit(" |")).alias("line")
+    types = count_by_type(entities).select(F.lit("type").alias("part"), F.col("rank").alias("pos"), row("type"))
+    # Pages are ranked by how many pages have more entities (as many counts as differ), then among their equals, each count its own window.
+    pages_ = count_by_page(evidence)
+    counts = pages_.groupBy("entities").agg(F.count("*").alias("n"))
+    before = counts.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy(F.desc("entities")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")  # as many rows as counts
+    ranked = pages_.join(before, "entities").withColumn("pos", (F.col("before") + F.row_number().over(Window.partitionBy("entities").orderBy("page"))).cast("int"))
+    total = entities.agg(F.count("*").alias("e")).crossJoin(pages.where("status = 'ok'").agg(F.count_distinct("url").alias("p")))  # one row each
+    head = F.concat(F.lit(f"*Generado: {day} - "), F.col("p").cast("string"), F.lit(" paginas procesadas - "), F.col("e").cast("string"), F.lit(" entidades*"))
+    return types.unionByName(ranked.select(F.lit("page").alias("part"), "pos", row("page"))).unionByName(total.select(F.lit("head").alias("part"), F.lit(1).alias("pos"), head.alias("line")))
+
+
+def markdown_cards(entities: DataFrame, evidence: DataFrame | None = None) -> DataFrame:
+    """(entity_id, card): the entity's part of the report, with the number of its ``evidence`` rows and of their pages if given."""
+    if evidence is None:
+        entities = entities.withColumns({"_n": F.lit(0), "_p": F.lit(0)})
+    else:
+        seen = evidence.groupBy("entity_id").agg(F.count("*").alias("_n"), F.count_distinct(F.nullif(page_of(), F.lit(""))).alias("_p"))
+        entities = entities.join(seen, "entity_id", "left")
     t = primary_type()
     others = F.array_join(F.filter("types", lambda x: (text(x) != "") & ~x.eqNullSafe(t)), ", ")
     bold = lambda label, body: F.concat(F.lit(f"**{label}:** "), body, F.lit("  \n"))
@@ -110,6 +131,6 @@ def markdown_cards(entities: DataFrame) -> DataFrame:
     parts = [
         F.concat(F.lit("### "), F.coalesce(F.nullif("name", F.lit("")), F.lit("Sin nombre")), F.lit("\n\n")), bold("Tipo", F.coalesce(t, F.lit("-"))), F.when(others != "", bold("Tipos relacionados", others)), F.when(short != "", bold("Descripcion", F.substring(short, 1, 300))),
         F.when(F.col("coordinates.lat").isNotNull() & F.col("coordinates.lng").isNotNull(), bold("Coordenadas", coords)), F.when(F.trim(text(F.col("address"))) != "", bold("Direccion", F.trim("address"))),
-        F.when(F.size("images") > 0, bold("Imagenes", F.size("images").cast("string"))), F.when(F.trim(text(F.col("wikidataId"))) != "", bold("Wikidata", F.trim("wikidataId"))),
+        F.when(F.size("images") > 0, bold("Imagenes", F.size("images").cast("string"))), F.when(F.col("_n") > 0, bold("Fuentes", F.concat(F.col("_n").cast("string"), F.lit(" evidencias"), F.when(F.col("_p") == 1, " - 1 pagina").when(F.col("_p") > 1, F.concat(F.lit(" - "), F.col("_p").cast("string"), F.lit(" paginas"))).otherwise("")))), F.when(F.trim(text(F.col("wikidataId"))) != "", bold("Wikidata", F.trim("wikidataId"))),
     ]
     return entities.select("entity_id", F.concat(*[F.coalesce(p, F.lit("")) for p in parts], F.lit("\n---\n")).alias("card"))

@@ -13,6 +13,15 @@ from . import sql as S
 from .core import query
 from .scalar_queries import _BODY, _NOISE_IMG, _NOISE_SQL, _REASONS, _navigation_sql, _unq
 
+
+
+def escaped(c):
+    """A text as it stands in XML and HTML."""
+    for sign, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        c = F.replace(c, F.lit(sign), F.lit(name))
+    return T.text(c)
+
+
 _PRIMARY = "coalesce(nullif(type, ''), types[1])"
 
 
@@ -215,25 +224,40 @@ def prefer_longest(spark, d):
 
 def _feat(t: str, i: str, types: str) -> str:
     nk = S.name_key("name", dims.RESOLVE_ARTICLES)
-    return f"select {i} id, {nk} nk, list_distinct(list_filter(string_split({nk}, ' '), lambda w: length(w) >= 4 and w not in {S.in_(dims.NAME_STOPWORDS)})) toks, nullif(wikidataId, '') wd, coordinates.lat lat, coordinates.lng lng, {S.key('address')} addr, {types} t0 from {t}"
+    return f"select {i} id, {S.entity_key()} ek, {nk} nk, list_distinct(list_filter(string_split({nk}, ' '), lambda w: length(w) >= 4 and w not in {S.in_(dims.NAME_STOPWORDS)})) toks, nullif(wikidataId, '') wd, coordinates.lat lat, coordinates.lng lng, {S.key('address')} addr, {types} t0 from {t}"
+
+
+_LEFT, _RIGHT = _feat("entities", "entity_id", "nullif(types[1], '')"), _feat("kb_entities", "kb_id", "nullif(type, '')")
 
 
-@query(f"""with a as ({_feat('entities', 'entity_id', "nullif(types[1], '')")}), b as ({_feat('kb_entities', 'kb_id', "nullif(type, '')")}),
-ta as (select id, unnest(toks) t from a), tb as (select id, unnest(toks) t from b),
-c as (select a.id a, b.id b from a join b on a.nk = b.nk where a.nk <> '' union select a.id, b.id from a join b on a.wd = b.wd union select ta.id, tb.id from ta join tb on ta.t = tb.t),
-p as (select c.a, c.b, a.wd w1, b.wd w2, a.nk n1, b.nk n2, len(list_intersect(a.toks, b.toks)) sh, least(len(a.toks), len(b.toks)) le, len(a.toks) + len(b.toks) - len(list_intersect(a.toks, b.toks)) un, a.addr a1, b.addr a2, a.t0 t1, b.t0 t2,
-  case when a.lat is not null and a.lng is not null and b.lat is not null and b.lng is not null then {S.km('a.lat', 'a.lng', 'b.lat', 'b.lng')} end km from c join a on c.a = a.id join b on c.b = b.id),
-s as (select a, b, round(cast(case when w1 = w2 then 1.0 when w1 is not null and w2 is not null then 0.0 when not (n1 <> '' and n2 <> '' and (n1 = n2 or le >= 2 and sh = le)) then 0.0 when km > 5 then 0.0 else case when km <= 0.15 then 0.55 else 0.0 end + case when a1 <> '' and a1 = a2 then 0.35 else 0.0 end + case when le >= 2 and sh = le then 0.30 when sh > 0 and sh / un >= 0.5 then 0.20 else 0.0 end + case when t1 = t2 then 0.10 else 0.0 end end as double), 6) score from p)
-select a as entity_id, b as kb_id, score from s where score > 0""")
+def _scores(a: str, b: str, x: str) -> str:
+    """(a, b, score) of the pairs of two tables of features that can score, as s{x}."""
+    return f"""ta{x} as (select id, unnest(toks) t from {a}), tb{x} as (select id, unnest(toks) t from {b}),
+c{x} as (select a.id a, b.id b from {a} a join {b} b on a.nk = b.nk where a.nk <> '' union select a.id, b.id from {a} a join {b} b on a.wd = b.wd union select ta{x}.id, tb{x}.id from ta{x} join tb{x} on ta{x}.t = tb{x}.t),
+p{x} as (select c.a, c.b, a.wd w1, b.wd w2, a.nk n1, b.nk n2, len(list_intersect(a.toks, b.toks)) sh, least(len(a.toks), len(b.toks)) le, len(a.toks) + len(b.toks) - len(list_intersect(a.toks, b.toks)) un, a.addr a1, b.addr a2, a.t0 t1, b.t0 t2,
+  case when a.lat is not null and a.lng is not null and b.lat is not null and b.lng is not null then {S.km('a.lat', 'a.lng', 'b.lat', 'b.lng')} end km from c{x} c join {a} a on c.a = a.id join {b} b on c.b = b.id),
+s{x} as (select a, b, round(cast(case when w1 = w2 then 1.0 when w1 is not null and w2 is not null then 0.0 when not (n1 <> '' and n2 <> '' and (n1 = n2 or le >= 2 and sh = le)) then 0.0 when km > 5 then 0.0 else case when km <= 0.15 then 0.55 else 0.0 end + case when a1 <> '' and a1 = a2 then 0.35 else 0.0 end + case when le >= 2 and sh = le then 0.30 when sh > 0 and sh / un >= 0.5 then 0.20 else 0.0 end + case when t1 = t2 then 0.10 else 0.0 end end as double), 6) score from p{x})"""
+
+
+@query(f"with a as ({_LEFT}), b as ({_RIGHT}), {_scores('a', 'b', '')} select a as entity_id, b as kb_id, score from s where score > 0")
 def pair_score(spark, d):
     left = V.features(table(spark, d, "entities"), "entity_id")
     right = V.features(table(spark, d, "kb_entities").withColumn("types", F.array("type")), "kb_id")
     return V.scored_pairs(left, right).select(F.col("a").alias("entity_id"), F.col("b").alias("kb_id"), "score")
 
 
-@query()
+@query(f"""with recursive n as materialized ({_LEFT}), k as materialized ({_RIGHT}),
+ex as (select n.id, k.hit base from n join (select ek, min(id) hit from k where ek <> '' group by 1) k on n.ek = k.ek), nm as (select n.id, k.hit base from n join (select nk, min(id) hit from k where nk <> '' group by 1) k on n.nk = k.nk where n.wd is not null and n.id not in (select id from ex)),
+rest as (select * from n where id not in (select id from ex union all select id from nm)), tw as (select ek, min(id) base from rest group by 1), sm as (select rest.id, tw.base from rest join tw on rest.ek = tw.ek where rest.id <> tw.base), hd as materialized (select * from rest where id not in (select id from sm)),
+{_scores('hd', 'k', '1')}, {_scores('hd', 'hd', '2')},
+old as materialized (select a id, max({{'score': score, 'old': 1, 'first': -b}}) c from s1 where score >= {V.THRESHOLD} group by 1), inn as materialized (select a id, b earlier, score from s2 where a > b and score >= {V.THRESHOLD}), el as (select id, list(earlier) l from inn group by 1),
+hs as materialized (select hd.id, row_number() over (order by hd.id) i, old.id is not null known, coalesce(el.l, []) l from hd left join old on hd.id = old.id left join el on hd.id = el.id),
+r as (select cast(0 as bigint) i, cast([] as bigint[]) added union all select hs.i, case when hs.known or list_has_any(r.added, hs.l) then r.added else list_append(r.added, hs.id) end from r join hs on hs.i = r.i + 1), ad as (select unnest(added) id from (select added from r order by i desc limit 1)),
+cd as (select id, c from old union all select inn.id, {{'score': score, 'old': 0, 'first': -earlier}} from inn join ad on inn.earlier = ad.id), bc as (select id, max(c) c from cd group by 1)
+select id, base, 'exact_key' as tier, cast(1 as double) as score from ex union all select id, base, 'name_key', 1 from nm union all select id, base, 'exact_key', 1 from sm
+union all select hs.id, coalesce(-c.first, hs.id), case when c is null then 'added' else 'similar' end, coalesce(c.score, 0) from hs left join bc on hs.id = bc.id""")
 def kb_resolve(spark, d):
-    """Rounds of joins that SQL doesn't express; the tests hold it against deciding row by row."""
+    """The SQL decides row by row, with the list of those added so far."""
     return V.resolve(table(spark, d, "kb_entities").withColumn("types", F.array("type")), table(spark, d, "entities"), "kb_id", "entity_id")
 
 
@@ -301,9 +325,16 @@ _COORDS = "cast(coordinates.lat as varchar) || ', ' || cast(coordinates.lng as v
 
 @query(f"""select entity_id, '### ' || coalesce(nullif(name, ''), 'Sin nombre') || chr(10) || chr(10) || {_B('Tipo', f"coalesce({_PRIMARY}, '-')")} || coalesce(case when {_OTHERS} <> '' then {_B('Tipos relacionados', _OTHERS)} end, '')
  || coalesce(case when trim({S.t('shortDescription')}) <> '' then {_B('Descripcion', "substr(trim(shortDescription), 1, 300)")} end, '') || coalesce(case when coordinates.lat is not null and coordinates.lng is not null then {_B('Coordenadas', _COORDS)} end, '')
- || coalesce(case when trim({S.t('address')}) <> '' then {_B('Direccion', 'trim(address)')} end, '') || coalesce(case when len(images) > 0 then {_B('Imagenes', 'cast(len(images) as varchar)')} end, '') || coalesce(case when trim({S.t('wikidataId')}) <> '' then {_B('Wikidata', 'trim(wikidataId)')} end, '') || chr(10) || '---' || chr(10) as card from entities""")
+ || coalesce(case when trim({S.t('address')}) <> '' then {_B('Direccion', 'trim(address)')} end, '') || coalesce(case when len(images) > 0 then {_B('Imagenes', 'cast(len(images) as varchar)')} end, '') || coalesce(case when v.n > 0 then {_B('Fuentes', "cast(v.n as varchar) || ' evidencias' || case when v.p = 1 then ' - 1 pagina' when v.p > 1 then ' - ' || v.p || ' paginas' else '' end")} end, '') || coalesce(case when trim({S.t('wikidataId')}) <> '' then {_B('Wikidata', 'trim(wikidataId)')} end, '') || chr(10) || '---' || chr(10) as card
+ from entities e left join (select entity_id i, count(*) n, count(distinct nullif({_PAGE}, '')) p from evidence group by 1) v on e.entity_id = v.i""")
 def markdown_report(spark, d):
-    return A.markdown_cards(table(spark, d, "entities"))
+    return A.markdown_cards(table(spark, d, "entities"), table(spark, d, "evidence"))
+
+
+@query(f"""with c as (select {_PRIMARY} t, count(*) n, min(entity_id) f from entities where {S.t(_PRIMARY)} <> '' group by 1), p as (select {_PAGE} t, count(distinct entity_id) n from evidence where {_PAGE} <> '' and entity_id is not null group by 1)
+select 'type' as part, cast(row_number() over (order by n desc, f) as int) as pos, '| ' || t || ' | ' || n || ' |' as line from c union all select 'page', cast(dense_rank() over (order by n desc, t) as int), '| ' || t || ' | ' || n || ' |' from p union all select 'head', 1, '*Generado: 2026-01-01 - ' || (select count(distinct url) from crawl_pages where status = 'ok') || ' paginas procesadas - ' || (select count(*) from entities) || ' entidades*'""")
+def markdown_tables(spark, d):
+    return A.markdown_tables(table(spark, d, "entities"), table(spark, d, "evidence").where("entity_id is not null"), table(spark, d, "crawl_pages"), "2026-01-01")
 
 
 _SCHEMA = [("Museum", "createMuseum", ["name", "hasDescription"]), ("Church", "createChurch", ["name", "hasLocation"]), ("Event", "createEvent", ["name", "startsAt"]), ("TourismEntity", "createTourismEntity", ["name"])]
@@ -364,11 +395,14 @@ def vision_pairs(spark, d):
     return M.vision_pairs(image_topk(spark, d))
 
 
-@query(f"select e.entity_id, v.url, v.title from entities e join (select distinct nullif(metadata.wikidataId, '') w, url, coalesce(title, '') title from evidence where source_type = 'wikipedia') v on v.w = nullif(e.wikidataId, '') where not exists (select 1 from evidence x where x.entity_id = e.entity_id and x.url = v.url and x.block_id = e.name and x.source_type = 'wikipedia')")
+@query(f"""with v as (select distinct e.wikidataId w, x.url, {S.t('x.title')} title from evidence x join entities e on x.entity_id = e.entity_id where source_type = 'wikipedia' and {S.t('e.wikidataId')} <> '')
+select e.entity_id, v.url, v.title from entities e join v on v.w = e.wikidataId where not exists (select 1 from evidence x where x.entity_id = e.entity_id and x.url = v.url and x.block_id = e.name and x.source_type = 'wikipedia')""")
 def external_evidence(spark, d):
-    v = table(spark, d, "evidence")
-    summaries = v.where("source_type = 'wikipedia'").select(F.nullif("metadata.wikidataId", F.lit("")).alias("wikidataId"), "source_type", "url", T.text(F.col("title")).alias("title"), F.lit("").alias("text")).where("wikidataId is not null").distinct()
-    return E.external_evidence(table(spark, d, "entities"), v, summaries).select("entity_id", "url", "title")
+    """What encyclopedias say of an entity goes to all entities of its identifier."""
+    e, v = table(spark, d, "entities"), table(spark, d, "evidence")
+    own = v.where("source_type = 'wikipedia'").join(e.select("entity_id", "wikidataId"), "entity_id").where(T.text(F.col("wikidataId")) != "")
+    summaries = own.select("wikidataId", "source_type", "url", T.text(F.col("title")).alias("title"), F.lit("").alias("text")).distinct()
+    return E.external_evidence(e, v, summaries).select("entity_id", "url", "title")
 
 
 @query(rf"""with recursive e as (select distinct sourceUrl p, unnest(relatedUrls) l from entities), g as (select p, l from e where regexp_replace(lower(regexp_extract(p, '//([^/?#:]+)', 1)), '^www\.', '') = regexp_replace(lower(regexp_extract(l, '//([^/?#:]+)', 1)), '^www\.', '')),
@@ -438,19 +472,28 @@ def stamp_pages(spark, d):
     return X.stamped(table(spark, d, "evidence"), F.col("url")).select("evidence_id", "page_url")
 
 
-@query()
+@query(f"""with b as (select *, row_number() over (partition by page_id order by position, block_uid) n from content_blocks where kind <> 'page' and ({S.t('title')} <> '' or len(images) > 0) qualify n <= 15), g as (select page_id, count(*) n, arg_min({S.t('title')}, n) t, sum(length(substr({S.t('text')}, 1, 400))) c, sum(least(len(coalesce(images, [])), 4)) i from b group by 1),
+w as (select page_id, arg_min(text, block_uid) filter (where text is not null) x, arg_min(coalesce(text, chr(1)), block_uid) y from content_blocks where kind = 'page' group by 1)
+select p.page_id, {S.t('p.title')} as title, {S.t('p.language')} as language, least(len(coalesce(p.images, [])), 25) as images, coalesce({S.t('p.images[1].context')}, '') as context, substr(case when y = chr(1) then '' else coalesce(y, '') end, 1, 10000) as text, coalesce(g.n, 0) as blocks, g.t as first_block, cast(coalesce(g.c, 0) as bigint) as block_text, cast(coalesce(g.i, 0) as bigint) as block_images, {len(dims.ALLOWED)} as types
+from crawl_pages p left join g on p.page_id = g.page_id left join w on p.page_id = w.page_id""")
 def page_prompts(spark, d):
-    """JSON texts; the tests look into them."""
-    return X.prompts(table(spark, d, "crawl_pages"), table(spark, d, "content_blocks"))
+    """The prompts, read back."""
+    part = "struct<title:string,language:string,images:array<struct<url:string,alt:string,context:string,index:string>>,text:string,blocks:array<struct<id:string,title:string,text:string,images:array<struct<url:string,alt:string>>>>>"
+    p = X.prompts(table(spark, d, "crawl_pages"), table(spark, d, "content_blocks")).withColumn("x", F.from_json("prompt", f"struct<task:string,rules:array<string>,tourist_types:array<string>,page:{part}>"))
+    sizes = lambda f: F.aggregate(F.transform("x.page.blocks", f), F.lit(0), lambda a, b: a + b).cast("bigint")
+    return p.select(
+        "page_id", "x.page.title", "x.page.language", F.size("x.page.images").alias("images"), T.text(F.get("x.page.images", F.lit(0))["context"]).alias("context"), "x.page.text", F.size("x.page.blocks").alias("blocks"), F.get("x.page.blocks", F.lit(0))["title"].alias("first_block"),
+        sizes(lambda b: F.length(b["text"])).alias("block_text"), sizes(lambda b: F.size(b["images"])).alias("block_images"), F.size("x.tourist_types").alias("types"),
+    )
 
 
-@query("select site, title, published, url from (select site, coalesce(trim(regexp_replace(title, '\\s+', ' ', 'g')), '') t, title, strftime(fetched_at, '%Y-%m-%d') as published, url, fetched_at from crawl_pages where title is not null and not regexp_matches(title, '[<>&]') and title <> '') where fetched_at >= timestamp '2024-01-01'")
+@query(f"select site, coalesce(nullif({S.compact('title')}, ''), '(sin título)') as title, strftime(fetched_at, '%Y-%m-%d') as published, {S.compact('url')} as url from crawl_pages where title <> '' and fetched_at >= timestamp '2024-01-01'")
 def rss_cutoff(spark, d):
     """Pages are written as feeds, an item a page, and read back with a cutoff."""
     from ..sources.formats import articles
 
-    p = table(spark, d, "crawl_pages").where("title <> '' and not rlike(title, '[<>&]')")
-    item = F.concat(F.lit("<item><title>"), "title", F.lit("</title><link>"), F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit("</link><pubDate>"), F.date_format("fetched_at", "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" +0000</pubDate></item>"))
-    feeds = p.select("site", F.col("page_id"), item.alias("x")).groupBy("site", F.pmod("page_id", F.lit(64)).alias("part")).agg(F.concat(F.lit("<rss>"), F.array_join(F.collect_list("x"), ""), F.lit("</rss>")).alias("xml"))
-    a = articles(feeds, since="2024-01-01", source="site")
-    return a.select("site", "title", "published", F.replace("url", F.lit("&amp;"), F.lit("&")).alias("url"))
+    p = table(spark, d, "crawl_pages").where("title <> ''")
+    item = F.concat(F.lit("<item><title>"), escaped(F.col("title")), F.lit("</title><link>"), escaped(F.col("url")), F.lit("</link><pubDate>"), F.date_format("fetched_at", "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" +0000</pubDate></item>"))
+    # A feed has the pages of a site whose ids are near each other.
+    feeds = p.select("site", F.floor(F.col("page_id") / 5000).alias("part"), item.alias("x")).groupBy("site", "part").agg(F.concat(F.lit("<rss>"), F.array_join(F.collect_list("x"), ""), F.lit("</rss>")).alias("xml"))
+    return articles(feeds, since="2024-01-01", source="site").select("site", "title", "published", "url")

@@ -50,6 +50,20 @@ def path(x: str) -> str:
     return rf"regexp_extract({t(x)}, '^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*([^?#]*)', 1)"
 
 
+def normal(x: str) -> str:
+    bare = f"regexp_replace({x}, '[?#].*$', '')"
+    return f"case when regexp_matches({x}, '(?i)^https?:') then case when length(regexp_extract({bare}, '^https?://[^/]*(/.*)?$', 1)) > 1 then regexp_replace({bare}, '/+$', '') else {bare} end end"
+
+
+def skipped(x: str) -> str:
+    return rf"(len(list_intersect({segments(f'lower({x})')}, {listed(dims.SKIP_SEGMENTS)})) > 0 or regexp_matches({path(f'lower({x})')}, '\.(?:{'|'.join(dims.SKIP_EXTENSIONS)})$'))"
+
+
+def distinct(l: str) -> str:
+    """Distinct values in order."""
+    return f"list_filter({l}, lambda x, i: list_position({l}, x) = i)"
+
+
 def segments(x: str) -> str:
     return f"string_split(trim({path(x)}, '/'), '/')"
 

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import compact, text
 from ..functions.urls import domain, foreign_language, normalize, skipped
+from . import markup
+from .tables import cut, exists
 
 COORDINATES = "struct<lat:double,lng:double,source:string,confidence:double>"
 SOURCE = f"struct<url:string,block_id:string,source_type:string,title:string,text:string,images:array<string>,coordinates:{COORDINATES},metadata:map<string,string>,page_url:string>"
@@ -30,10 +32,7 @@ def entities_of_json(docs: DataFrame, column: str = "value") -> DataFrame:
 
 def read_kb(spark: SparkSession, path: str) -> DataFrame:
     """Entities of a JSON knowledge base; a missing file is an empty one."""
-    try:
-        docs = spark.read.text(path, wholetext=True)
-    except Exception:  # noqa: BLE001 - the path doesn't exist
-        docs = spark.createDataFrame([], "value string")
+    docs = spark.read.text(path, wholetext=True) if exists(spark, path) else spark.createDataFrame([], "value string")
     return entities_of_json(docs)
 
 
@@ -52,19 +51,18 @@ def url_list(lines: DataFrame, column: str = "value") -> DataFrame:
 
 
 def articles(feeds: DataFrame, since: str | None = None, limit: int | None = None, column: str = "xml", source: str = "source") -> DataFrame:
-    """(source, pos, title, published, url, summary) of RSS items in (source, xml), in the feed's order.
+    """(source, pos, title, published, url, summary) of RSS and Atom items in (source, xml), in the feed's order.
 
-    ``since`` drops older items and keeps undated ones; ``limit`` keeps each feed's first. Bad XML gives none.
+    ``since`` drops older items and keeps undated ones; ``limit`` keeps each feed's first. Feeds that are not well formed are
+    read as far as they go.
     """
-    items = F.regexp_extract_all(column, F.lit(r"(?is)<(?:item|entry)\b[^>]*>(.*?)</(?:item|entry)>"), 1)
-    e = feeds.select(source, F.posexplode(items).alias("pos", "x"))
-    raw = lambda tag: F.regexp_extract("x", rf"(?is)<{tag}\b[^>]*>\s*(?:<!\[CDATA\[)?(.*?)(?:\]\]>)?\s*</{tag}>", 1)
+    name = feeds.schema[source].dataType.simpleString()
+    e = markup.read(feeds, [source, column], f"`{source}` {name}, pos int, raw_title string, raw_date string, raw_link string, raw_summary string, raw_source string", markup.feed_rows)
     bare = lambda c: compact(F.regexp_replace(c, r"(?s)<[^>]+>", " "))
-    when = F.coalesce(F.nullif(raw("pubDate"), F.lit("")), F.nullif(raw("published"), F.lit("")), F.nullif(raw("updated"), F.lit("")))
+    when = F.nullif("raw_date", F.lit(""))
     rfc = F.try_to_timestamp(F.regexp_replace(F.regexp_replace(when, r"^\w{3},\s*", ""), r"\s*(?:GMT|UTC|Z)$", " +0000"), F.lit("d MMM yyyy HH:mm:ss Z"))
     date = F.coalesce(rfc, F.try_to_timestamp(when)).cast("date")
-    link = F.coalesce(F.nullif(bare(raw("link")), F.lit("")), F.nullif(F.regexp_extract("x", r'(?i)<link\b[^>]*href="([^"]+)"', 1), F.lit("")), F.lit(""))
-    a = e.select(source, "pos", F.coalesce(F.nullif(bare(raw("title")), F.lit("")), F.lit("(sin título)")).alias("title"), date.alias("date"), link.alias("url"), bare(F.coalesce(F.nullif(raw("description"), F.lit("")), F.nullif(raw("summary"), F.lit("")), F.lit(""))).alias("summary"))
+    a = e.select(source, "pos", F.coalesce(F.nullif(compact(F.col("raw_title")), F.lit("")), F.lit("(sin título)")).alias("title"), date.alias("date"), compact(F.col("raw_link")).alias("url"), bare(F.col("raw_summary")).alias("summary"))
     if since:
         a = a.where(F.col("date").isNull() | (F.col("date") >= F.lit(since).cast("date")))
     a = a.select(source, "pos", "title", text(F.date_format("date", "yyyy-MM-dd")).alias("published"), "url", "summary")
@@ -76,17 +74,9 @@ def articles(feeds: DataFrame, since: str | None = None, limit: int | None = Non
 
 
 def feeds_of(pages: DataFrame) -> DataFrame:
-    """(url, feed, title, prio): feeds that pages (url, html) link to: alternates, then links that look like feeds; first of each."""
-    from ..functions.urls import absolute, root_domain
-    from ..operators.merge import first_of_group
-
-    tag = F.explode(F.regexp_extract_all("html", F.lit(r"(?is)(<link\b[^>]*>)"), 1))
-    attr = lambda c, a: F.regexp_extract(c, rf"""(?i)\b{a}=["']([^"']*)["']""", 1)
-    l = pages.select("url", tag.alias("t")).where(F.rlike("t", F.lit(r"(?i)alternate")) & F.rlike("t", F.lit(r"(?i)application/(?:rss|atom)\+xml")))
-    alternates = l.select("url", absolute(attr(F.col("t"), "href"), F.col("url")).alias("feed"), attr(F.col("t"), "title").alias("title"), F.lit(0).alias("prio"))
-    a = pages.select("url", F.explode(F.regexp_extract_all("html", F.lit(r"""(?is)(<a\b[^>]*>.*?</a>)"""), 1)).alias("t"))
-    links = a.select("url", absolute(attr(F.col("t"), "href"), F.col("url")).alias("feed"), compact(F.regexp_replace("t", r"(?s)<[^>]+>", " ")).alias("title"), F.lit(1).alias("prio")).where(F.rlike(F.lower("feed"), F.lit(r"/rss|/feed|\.rss|\.xml|atom"))).where(root_domain(F.col("feed")) == root_domain(F.col("url")))
-    return first_of_group(alternates.unionByName(links), ["url", "feed"], [F.col("prio"), F.col("title")])
+    """(url, feed, title, prio): feeds that pages (url, html) link to: alternates, then anchors and addresses that look like feeds of the
+    same root domain; the first of each."""
+    return markup.read(pages.withColumn("_url", F.col("url")), ["url", "_url", "html"], "url string, feed string, title string, prio int", markup.feed_links)
 
 
 def article_pages(articles_: DataFrame) -> DataFrame:
@@ -95,33 +85,40 @@ def article_pages(articles_: DataFrame) -> DataFrame:
     return articles_.select("url", "title", about.alias("description"), F.lit("es").alias("language"), F.lit("ok").alias("status"), F.array(F.struct(F.lit("rss-0").alias("block_id"), F.col("title").alias("title"), about.alias("text"))).alias("blocks"))
 
 
-def sitemap_urls(robots: DataFrame, sitemaps: DataFrame, home: str, lang: str = "", most_levels: int = 4) -> DataFrame:
-    """(url, level): pages of a site by its sitemaps: those that robots.txt (body) names, else the common places; indexes are
-    followed. ``sitemaps`` is (url, xml). Pages of other sites, files, system pages and other languages are left out; bad XML
-    gives none."""
-    base = home.rstrip("/")
-    named = robots.select(F.explode(F.split("body", r"\r?\n")).alias("l")).where(F.rlike("l", F.lit(r"(?i)^\s*sitemap:"))).select(F.trim(F.regexp_replace("l", r"(?i)^\s*sitemap:", "")).alias("url")).distinct()
-    if named.isEmpty():
-        common = [base + p for p in ("/sitemap.xml", "/sitemap_index.xml", "/sitemap/sitemap.xml")]
-        named = sitemaps.where(F.col("url").isin(*common)).select("url")
-    loc = F.explode(F.regexp_extract_all("xml", F.lit(r"(?is)<loc>\s*(.*?)\s*</loc>"), 1))
-    out = None
-    for level in range(most_levels):
-        m = sitemaps.join(named, "url")
-        urls = m.where(~F.contains("xml", F.lit("sitemapindex"))).select(loc.alias("loc")).select(normalize(F.replace("loc", F.lit("&amp;"), F.lit("&"))).alias("url"), F.lit(level).alias("level"))
+#: Where sitemaps are by custom, in order.
+SITEMAPS = ("/sitemap.xml", "/sitemap_index.xml", "/sitemap/sitemap.xml")
+
+
+def sitemap_urls(robots: DataFrame, sitemaps: DataFrame, homes: DataFrame | str, lang: str = "", most_levels: int = 4) -> DataFrame:
+    """(home, url): the pages of each site (``homes`` has a column home) by its sitemaps: those that its robots.txt (url, body) names
+    if they give any page, else the first of the common places that does.
+
+    Indexes are followed ``most_levels`` deep. ``sitemaps`` is (url, xml); each is parsed once, bad XML gives none. Pages of
+    other sites, files, system pages and other languages are left out.
+    """
+    if isinstance(homes, str):
+        homes = sitemaps.sparkSession.createDataFrame([(homes,)], "home string")
+    base = homes.select("home", F.rtrim("home", F.lit("/")).alias("base"))
+    lines = base.join(robots, F.concat("base", F.lit("/robots.txt")) == robots["url"]).select("home", F.explode(F.split("body", r"\r?\n")).alias("l"))
+    named = lines.select("home", F.lit(0).alias("way"), F.trim(F.regexp_extract("l", r"(?i)^\s*sitemap:\s*(http.*)$", 1)).alias("sitemap")).where("sitemap <> ''")
+    common = base.select("home", F.posexplode(F.array(*[F.concat("base", F.lit(p)) for p in SITEMAPS])).alias("way", "sitemap")).withColumn("way", F.col("way") + 1)
+    parsed = cut(markup.read(sitemaps, ["url", "xml"], "sitemap string, index boolean, pos int, loc string", markup.sitemap_rows))
+    level, out = named.unionByName(common).distinct(), None
+    for _ in range(most_levels):
+        here = level.join(parsed, "sitemap")
+        urls = here.where("not index").select("home", "way", normalize(F.col("loc")).alias("url"))
         out = urls if out is None else out.unionByName(urls)
-        named = m.where(F.contains("xml", F.lit("sitemapindex"))).select(loc.alias("url"))
-    return out.where(F.col("url").isNotNull() & (domain(F.col("url")) == domain(F.lit(home))) & ~skipped(F.col("url")) & ~foreign_language(F.col("url"), lang))
+        level = cut(here.where("index").select("home", "way", F.col("loc").alias("sitemap")).distinct())
+    good = out.where(F.col("url").isNotNull() & (domain(F.col("url")) == domain(F.col("home"))) & ~skipped(F.col("url")) & ~foreign_language(F.col("url"), lang)).distinct()
+    # The first way of each site that gives a page.
+    from pyspark.sql import Window
+
+    return good.withColumn("first", F.min("way").over(Window.partitionBy("home"))).where("way = first").select("home", "url")
 
 
 def ontology_of_rdf(docs: DataFrame, column: str = "xml", namespace: str = "") -> DataFrame:
-    """(name, uri, label_es, label_en, parent) of the classes of RDF/XML texts within a namespace."""
-    c = docs.select(F.explode(F.regexp_extract_all(column, F.lit(r"(?is)(<owl:Class\b[^>]*rdf:about=.*?</owl:Class>)"), 1)).alias("c"))
-    local = lambda x: F.regexp_extract(x, r"([^#/]*)$", 1)
-    uri = F.regexp_extract("c", r'rdf:about="([^"]*)"', 1)
-    label = lambda l: F.regexp_extract("c", rf'(?is)<rdfs:label\b[^>]*xml:lang="{l}"[^>]*>(.*?)</rdfs:label>', 1)
-    parent = F.regexp_extract("c", r'<rdfs:subClassOf\b[^>]*rdf:resource="([^"]*)"', 1)
-    return c.select(local(uri).alias("name"), uri.alias("uri"), label("es").alias("label_es"), label("en").alias("label_en"), local(parent).alias("parent")).where(F.startswith("uri", F.lit(namespace)) & (F.col("name") != ""))
+    """(name, uri, label_es, label_en, parent) of the classes of RDF/XML texts within a namespace; bad XML gives none."""
+    return markup.ontology(docs, column, namespace)
 
 
 def graph_schema(docs: DataFrame, column: str = "value") -> DataFrame:

@@ -16,16 +16,30 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """``df`` with its lineage cut by a reliable checkpoint, so that a lost executor costs no recomputation.
 
-    The folder is the one the session names in ``spark.checkpoint.dir``. Only where it is unset (local tests) a
-    temporary one is made.
+    The folder is the one the session names in ``spark.checkpoint.dir``. Only where it is unset and all runs in one
+    process (local tests) a temporary one is made; on a cluster that would be the driver's disk, so it is an error.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="mirador-checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not is_local(sc.master):
+            raise ValueError("name a shared folder in spark.checkpoint.dir")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="mirador-checkpoint-"))
     return df.checkpoint(eager=True)
 
 
+def is_local(master: str) -> bool:
+    """Whether all tasks run in the driver's process."""
+    return master == "local" or master.startswith("local[")
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder at ``path``, on whatever file system it names."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 #: A side is broadcast only if it has at most this many rows, and the caller states a bound for the bytes of a row.
 BROADCAST_ROWS = 400_000
 

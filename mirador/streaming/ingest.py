@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.merge import entity_key
+from ..operators.merge import entity_key, first_of_group
 from ..sources.formats import articles
+from ..sources.tables import exists
 
 
 def feed_drops(spark: SparkSession, folder: str, since: str | None = None) -> DataFrame:
@@ -37,12 +38,13 @@ def upsert_stream(stream: DataFrame, kb: str, checkpoint: str, transform: Callab
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        rows = transform(batch).withColumn("key", entity_key(F.col("name"), F.col("wikidataId"))).dropDuplicates(["key"])
-        try:
+        keyed = transform(batch).withColumn("key", entity_key(F.col("name"), F.col("wikidataId")))
+        # Of rows of one key the one that sorts first stays, whatever the partitions.
+        rows = first_of_group(keyed, ["key"], [F.to_json(F.struct(*keyed.columns))])
+        if exists(spark, kb):
+            # Only the key column is read; batches are folders, so the batch's own earlier try is pruned.
             known = spark.read.option("mergeSchema", False).parquet(kb).where(F.col("batch") != number).select("key")
             rows = rows.join(known, "key", "left_anti")
-        except Exception:  # noqa: BLE001 - the first batch finds no folder
-            pass
         rows.write.mode("overwrite").parquet(f"{kb}/batch={number}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

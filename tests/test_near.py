@@ -62,4 +62,6 @@ def test_regions_equal_ray_casting(spark):
     df = spark.createDataFrame(ps, "point_id bigint, lat double, lng double")
     rg = spark.createDataFrame(regions, f"region_id bigint, ring {ring}")
     assert {tuple(x) for x in near.points_in_regions(df, rg).collect()} == want
+    got = [tuple(x) for x in near.points_in_regions(df, rg, tile=0.3, crowd=5).collect()]
+    assert set(got) == want and len(got) == len(want)
     assert near.points_in_regions(df.where(F.lit(False)), rg).count() == 0

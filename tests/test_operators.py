@@ -103,3 +103,30 @@ def test_the_core_does_not_need_the_subpackage():
     for f in root.rglob("*.py"):
         if "llm" not in f.relative_to(root).parts:
             assert not re.search(r"^\s*(?:from|import)\s+.*\bllm\b", f.read_text(), re.M), f
+
+
+def test_a_crawl_ends_at_its_number_of_pages(spark):
+    edges = spark.createDataFrame([("h", f"p{k}") for k in range(4)] + [("p0", "q"), ("q", "r")], "page string, link string")
+    seeds = spark.createDataFrame([("h",)], "url string")
+    got = lambda **k: sorted(r["url"] for r in G.crawl_order(edges, seeds, **k).collect())
+    assert len(got()) == 7 and got(most_pages=2) == ["h", "p0"] and got(most_pages=6) == ["h", "p0", "p1", "p2", "p3", "q"]
+    assert got(most_pages=0) == [] and got(most_pages=3, done=spark.createDataFrame([("p0",), ("x",)], "url string")) == ["h"]
+
+
+def test_prompts_hold_the_page_and_its_limits(spark):
+    image = "struct<url:string,alt:string,source:string,index:string,context:string>"
+    pages = spark.createDataFrame([(1, "u", "T", None, "es", [("i", None, "", "0", "c")] * 30), (2, None, None, None, None, None)], f"page_id bigint, url string, title string, description string, language string, images array<{image}>")
+    blocks = spark.createDataFrame([(k, 1, f"b{k}", "page" if k == 9 else "article", "" if k == 3 else f"t{k}", "x" * 12_000, 20 - k, None) for k in range(20)], f"block_uid bigint, page_id bigint, block_id string, kind string, title string, text string, position int, images array<{image}>")
+    data = spark.createDataFrame([(1, k, "{}") for k in range(9)], "page_id bigint, pos int, item string")
+    got = {r["page_id"]: json.loads(r["prompt"]) for r in X.prompts(pages, blocks, data).collect()}
+    assert all(got[1][k] for k in ("task", "identity_contract", "procedure", "tourist_types", "schema", "rules"))
+    p = got[1]["page"]
+    assert (len(p["images"]), len(p["text"]), len(p["blocks"]), len(p["structured_data"])) == (25, 10_000, 15, 8)
+    assert p["blocks"][0]["id"] == "b19" and len(p["blocks"][0]["text"]) == 400 and not any(b["id"] in ("b3", "b9") for b in p["blocks"])
+    assert got[2]["page"] == {"url": "", "title": "", "description": "", "language": "", "images": [], "text": "", "blocks": [], "structured_data": []} or got[2]["page"]["title"] == ""
+
+
+def test_a_cluster_must_name_its_checkpoint_folder():
+    from mirador.sources.tables import is_local
+
+    assert is_local("local") and is_local("local[8]") and not is_local("local-cluster[2,1,512]") and not is_local("spark://h:7077") and not is_local("yarn")

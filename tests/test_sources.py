@@ -45,6 +45,10 @@ def test_feeds(spark, tmp_path):
     assert [r["title"] for r in R.articles(f, since="2025-01-01").collect()] == ["Uno", "(sin título)"]
     assert R.articles(f, limit=1).count() == 1
     assert R.article_pages(R.articles(f)).where("description = 'Fuente: f'").count() == 2
+    atom = '<feed xmlns="http://www.w3.org/2005/Atom" xmlns:m="http://m/"><title>F</title><entry><m:title>no</m:title><title>A &amp; B &lt;c&gt;</title><link rel="self" href="https://a.es/self"/><link href="https://a.es/a?x=1&amp;y=2"/><updated>2026-02-03T10:00:00Z</updated></entry></feed>'
+    broken = "<rss><channel><item><title>Caf&eacute; <![CDATA[<b>]]></title><link>https://a.es/z</link><item><title>Otro</title>"
+    g = spark.createDataFrame([("a", atom), ("b", broken), ("c", '<!DOCTYPE x [<!ENTITY e "boom">]><rss><item><title>&e;</title></item></rss>')], "source string, xml string")
+    assert [(r["source"], r["title"], r["published"], r["url"]) for r in R.articles(g).orderBy("source", "pos").collect()] == [("a", "A & B <c>", "2026-02-03", "https://a.es/a?x=1&y=2"), ("b", "Café <b>", "", "https://a.es/z"), ("b", "Otro", "", "")]
     drop = tmp_path / "drop"
     drop.mkdir()
     (drop / "a.xml").write_text(RSS)
@@ -77,6 +81,13 @@ def test_sitemaps(spark):
     assert sorted(r["url"] for r in got.collect()) == ["https://a.es/b", "https://a.es/q"]
     robots = spark.createDataFrame([("https://a.es/robots.txt", "User-agent: *\nSitemap: https://a.es/s1.xml")], "url string, body string")
     assert R.sitemap_urls(robots, maps, "https://a.es/").count() == 3
+    # A robots.txt whose sitemaps give nothing leaves it to the common places, of which the first that gives a page counts.
+    useless = spark.createDataFrame([("https://a.es/robots.txt", "Sitemap: https://a.es/bad\nSitemap: s2.xml")], "url string, body string")
+    ns = f'<?xml version="1.0" encoding="UTF-8"?><n:urlset xmlns:n="http://www.sitemaps.org/schemas/sitemap/0.9"><n:url><n:loc> https://a.es/ns?a=1&amp;b=2 </n:loc></n:url></n:urlset>'
+    more = spark.createDataFrame([("https://a.es/bad", "<urlset><url><loc>https://a.es/cut</loc>"), ("https://a.es/sitemap.xml", x("https://c.es/other")), ("https://a.es/sitemap_index.xml", ns), ("https://a.es/sitemap/sitemap.xml", x("https://a.es/late")), ("https://b.es/sitemap.xml", x("https://b.es/b"))], "url string, xml string")
+    homes = spark.createDataFrame([("https://a.es/",), ("https://b.es",), ("https://d.es",)], "home string")
+    assert {tuple(r) for r in R.sitemap_urls(useless, more, homes).collect()} == {("https://a.es/", "https://a.es/ns"), ("https://b.es", "https://b.es/b")}
+    assert R.sitemap_urls(none, more.where("false"), homes).count() == 0
     p = spark.createDataFrame([("https://a.es/", '<link rel="alternate" type="application/rss+xml" title="N" href="/rss.xml"><a href="/feed">Feed</a><a href="https://b.es/rss">no</a>')], "url string, html string")
     assert sorted(r["feed"] for r in R.feeds_of(p).collect()) == ["https://a.es/feed", "https://a.es/rss.xml"]
 
@@ -97,9 +108,12 @@ def test_json_kb(spark, tmp_path):
 
 
 def test_ontology_schema_and_data_url(spark, tmp_path):
-    rdf = '<rdf:RDF><owl:Class rdf:about="http://o#Museum"><rdfs:label xml:lang="es">Museo</rdfs:label><rdfs:subClassOf rdf:resource="http://o#Place"/></owl:Class><owl:Class rdf:about="http://x#No"></owl:Class></rdf:RDF>'
+    rdf = '<rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns:owl="http://www.w3.org/2002/07/owl#" xmlns:rdfs="http://www.w3.org/2000/01/rdf-schema#"><owl:Class rdf:about="http://o#Museum"><rdfs:label xml:lang="es">Museo</rdfs:label><rdfs:subClassOf rdf:resource="http://o#Place"/></owl:Class><owl:Class rdf:about="http://x#No"></owl:Class></rdf:RDF>'
     o = R.ontology_of_rdf(spark.createDataFrame([(rdf,), ("",)], "xml string"), namespace="http://o#").collect()
     assert [(r["name"], r["label_es"], r["parent"]) for r in o] == [("Museum", "Museo", "Place")]
+    more = '<r:RDF xmlns:r="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns:o="http://www.w3.org/2002/07/owl#" xmlns:s="http://www.w3.org/2000/01/rdf-schema#"><o:Class r:about="http://o#A"/><o:Class r:about="http://o#B"><s:label xml:lang="en">B &amp; b</s:label><s:subClassOf r:resource="http://o#A"/></o:Class></r:RDF>'
+    o = R.ontology_of_rdf(spark.createDataFrame([(more,), (more[:-3],)], "xml string"), namespace="http://o#").orderBy("name").collect()
+    assert [(r["name"], r["label_en"], r["parent"]) for r in o] == [("A", "", ""), ("B", "B & b", "A")]
     doc = {"data": {"__schema": {"mutationType": {"name": "M"}, "types": [{"name": "M", "fields": [{"name": "createMuseum"}, {"name": "deleteX"}]}, {"name": "MuseumInput", "inputFields": [{"name": "name", "type": {"kind": "NON_NULL"}}, {"name": "b", "type": {"kind": "LIST"}}]}]}}}
     assert [tuple(r) for r in R.graph_schema(spark.createDataFrame([(json.dumps(doc),)], "value string")).collect()] == [("Museum", "createMuseum", ["name"])]
     (tmp_path / "a.jpg").write_bytes(b"abc")
