@@ -193,7 +193,7 @@ def pairs_within(points: DataFrame, radius: float, key: str = "point_id", lat: s
     return found.select(F.col("a").alias(f"{key}_a"), F.col("b").alias(f"{key}_b"))
 
 
-def points_in_regions(points: DataFrame, regions: DataFrame, key: str = "point_id", lat: str = "lat", lng: str = "lng", region: str = "region_id", ring: str = "ring", band: float = 0.25, tile: float = 0.5, crowd: int = CROWD) -> DataFrame:
+def points_in_regions(points: DataFrame, regions: DataFrame, key: str = "point_id", lat: str = "lat", lng: str = "lng", region: str = "region_id", ring: str = "ring", band: float = 0.25, tile: float = 2.0, crowd: int = CROWD) -> DataFrame:
     """(``key``, ``region``): points inside polygons, by plane sweep over the polygons' edges.
 
     ``ring`` is an array of (lat, lng) structs, closed or not, in the plane of degrees (no polygon crosses the date line).
@@ -204,12 +204,6 @@ def points_in_regions(points: DataFrame, regions: DataFrame, key: str = "point_i
     tiles of ``tile`` degrees of longitude, and an edge goes to the tiles that its polygon reaches, so a point meets edges of
     polygons around it only. A tile with more than ``crowd`` points is spread over tasks by the points, and only its edges copied.
     """
-    usable = points.where(usable_point(F.col(lat), F.col(lng))).select(F.col(key).cast("bigint").alias("id"), F.col(lat).cast("double").alias("y"), F.col(lng).cast("double").alias("x"))
-    p = usable.withColumns({"band": F.floor(F.col("y") / band), "tile": F.floor(F.col("x") / tile)})
-    # At most as many rows as tiles of the globe, and only the crowded ones.
-    crowded = checked_broadcast(cut(p.groupBy("band", "tile").agg(F.count("*").alias("n")).where(F.col("n") > crowd).select("band", "tile", F.ceil(F.col("n") / crowd).cast("int").alias("parts"))))
-    parts = F.coalesce("parts", F.lit(1))
-    p = p.join(crowded, ["band", "tile"], "left").select("band", "tile", F.pmod(F.xxhash64("id"), parts).cast("int").alias("salt"), "id", "y", "x", *[F.lit(None).cast("double").alias(c) for c in ("y2", "x2")])
     corners = regions.where(F.size(ring) >= 3).select(F.col(region).cast("bigint").alias("id"), F.col(ring).alias("r"))
     corners = corners.withColumns({"west": F.array_min(F.transform("r", lambda c: c["lng"])), "east": F.array_max(F.transform("r", lambda c: c["lng"]))})
     edges = corners.select("id", "west", "east", F.posexplode("r").alias("k", "u"), F.element_at("r", (F.col("k") + 1) % F.size("r") + 1).alias("v"))
@@ -217,6 +211,13 @@ def points_in_regions(points: DataFrame, regions: DataFrame, key: str = "point_i
     edges = edges.where(F.col("u.lat") != F.col("v.lat")).select("id", "west", "east", F.when(rising, F.col("u")).otherwise(F.col("v")).alias("s"), F.when(rising, F.col("v")).otherwise(F.col("u")).alias("n"))
     bands = F.sequence(F.floor(F.col("s.lat") / band), F.floor(F.col("n.lat") / band))
     e = edges.withColumn("band", F.explode(bands)).withColumn("tile", F.explode(F.sequence(F.floor(F.col("west") / tile), F.floor(F.col("east") / tile))))
+    # Points of tiles that no polygon reaches go no further. At most as many rows as tiles of the globe.
+    reached = checked_broadcast(cut(e.select("band", "tile").distinct()))
+    usable = points.where(usable_point(F.col(lat), F.col(lng))).select(F.col(key).cast("bigint").alias("id"), F.col(lat).cast("double").alias("y"), F.col(lng).cast("double").alias("x"))
+    p = usable.withColumns({"band": F.floor(F.col("y") / band), "tile": F.floor(F.col("x") / tile)}).join(reached, ["band", "tile"])
+    crowded = checked_broadcast(cut(p.groupBy("band", "tile").agg(F.count("*").alias("n")).where(F.col("n") > crowd).select("band", "tile", F.ceil(F.col("n") / crowd).cast("int").alias("parts"))))
+    parts = F.coalesce("parts", F.lit(1))
+    p = p.join(crowded, ["band", "tile"], "left").select("band", "tile", F.pmod(F.xxhash64("id"), parts).cast("int").alias("salt"), "id", "y", "x", *[F.lit(None).cast("double").alias(c) for c in ("y2", "x2")])
     e = e.join(crowded, ["band", "tile"], "left").withColumn("salt", F.explode(F.sequence(F.lit(0), parts - 1)))
     e = e.select("band", "tile", "salt", "id", F.col("s.lat").alias("y"), F.col("s.lng").alias("x"), F.col("n.lat").alias("y2"), F.col("n.lng").alias("x2"))
 
@@ -228,6 +229,7 @@ def points_in_regions(points: DataFrame, regions: DataFrame, key: str = "point_i
             return
         ey, ex, ey2, ex2, eid = (edge[c].to_numpy() for c in ("y", "x", "y2", "x2", "id"))
         py, px, pid = (pt[c].to_numpy() for c in ("y", "x", "id"))
+        polygons, own = np.unique(eid, return_inverse=True)
         active, nxt, a, b = np.zeros(0, np.int64), 0, [], []
         for lo in range(0, len(py), 256):  # the sweep line moves on by 256 points
             ys, xs = py[lo : lo + 256], px[lo : lo + 256]
@@ -241,10 +243,10 @@ def points_in_regions(points: DataFrame, regions: DataFrame, key: str = "point_i
             cross = (ey[active] <= y) & (y < ey2[active]) & (ex[active] + (y - ey[active]) / (ey2[active] - ey[active]) * (ex2[active] - ex[active]) <= x)
             i, k = np.nonzero(cross)
             if len(i):
-                n = pd.Series(1, index=pd.MultiIndex.from_arrays([lo + i, eid[active[k]]])).groupby(level=[0, 1]).sum()
-                n = n[n % 2 == 1].index
-                a.append(pid[n.get_level_values(0).to_numpy(dtype=np.int64)])
-                b.append(n.get_level_values(1).to_numpy(dtype=np.int64))
+                met, times = np.unique((lo + i) * len(polygons) + own[active[k]], return_counts=True)
+                met = met[times % 2 == 1]
+                a.append(pid[met // len(polygons)])
+                b.append(polygons[met % len(polygons)])
         if a:
             yield pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
 

@@ -327,10 +327,10 @@ def images_judged(spark, d):
     return K.accepted_images(i).select("entity_id", F.array_join("accepted", "|").alias("accepted"), F.array_join("rejected", "|").alias("rejected"))
 
 
-@query(f"""with l0 as (select url page, unnest(images) i from crawl_pages), l as (select distinct page, i.url image, lower(trim({S.t('i.alt')})) l from l0), f as (select * from l where l not in ('', 'none', 'ninguna', 'ninguno', 'null', 'n/a', 'no')), e as (select entity_id, sourceUrl page, lower(trim(name)) n from entities where trim(name) <> ''),
+@query(f"""with l0 as (select url page, unnest(images) i from crawl_pages), l as (select distinct page, i.url image, lower(split_part(trim({S.t('i.context')}), ' ', 1)) l from l0), f as (select * from l where l not in ('', 'none', 'ninguna', 'ninguno', 'null', 'n/a', 'no')), e as (select entity_id, sourceUrl page, lower(trim(name)) n from entities where trim(name) <> ''),
 j as (select f.page, image, entity_id, case when l = n then 0 when contains(n, l) or contains(l, n) then 1 end h from f join e on f.page = e.page), b as (select page, image, min({{'h': h, 'e': entity_id}}) b from j where h is not null group by 1, 2)
 select b.e as entity_id, image, case when b.h = 0 then 'name' else 'part' end as how from b""")
 def images_named(spark, d):
-    """Captions stand for what was seen in an image."""
-    i = table(spark, d, "crawl_pages").select(F.col("url").alias("page"), F.explode("images").alias("i")).select("page", F.col("i.url").alias("image"), T.text(F.col("i.alt")).alias("label")).distinct()
+    """The first word of what stands around an image is what was seen in it."""
+    i = table(spark, d, "crawl_pages").select(F.col("url").alias("page"), F.explode("images").alias("i")).select("page", F.col("i.url").alias("image"), F.substring_index(F.trim(T.text(F.col("i.context"))), " ", 1).alias("label")).distinct()
     return K.seen_images(i, table(spark, d, "entities"))
