@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import dims
-from ..functions.text import has_keyword, key, text
+from ..functions.text import has_keyword, key, let, text
 from .merge import first_of_group
 
 
@@ -33,10 +33,13 @@ def keyword_scores(contexts: DataFrame, entity: str = "entity_id") -> DataFrame:
     """
     known = F.array(*[F.lit(k) for k, _ in dims.TYPE_KEYWORDS])
     longest = max(len(k.split()) for k, _ in dims.TYPE_KEYWORDS)
-    w = F.col("w")
-    run = lambda n: w if n == 1 else F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " "))).otherwise(F.array().cast("array<string>"))
-    k = contexts.select(entity, "weight", F.split(key(F.col("text")), " ").alias("w"))
-    hits = k.select(entity, "weight", F.explode(F.array_intersect(F.concat(*[run(n) for n in range(1, longest + 1)]), known)).alias("keyword"))
+
+    def runs(w: Column) -> Column:
+        more = [F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " "))).otherwise(F.array().cast("array<string>")) for n in range(2, longest + 1)]
+        return F.array_intersect(F.concat(w, *more), known)
+
+    # The words are computed once, though they are used for each length.
+    hits = contexts.select(entity, "weight", F.explode(let(F.split(key(F.col("text")), " "), runs)).alias("keyword"))
     types = F.broadcast(dims.keywords(contexts.sparkSession))  # a few dozen keywords
     return hits.join(types, "keyword").groupBy(entity, "type").agg(F.sum("weight").alias("score"), F.min("ord").alias("first"))
 
@@ -93,9 +96,10 @@ def by_osm(places: DataFrame) -> DataFrame:
     return first_of_group(hit, ["entity_id"], [F.col("pos")]).select("entity_id", "type", F.concat_ws("/", "category", "kind").alias("osm"))
 
 
-def classify(entities: DataFrame, evidence: DataFrame, wikidata: DataFrame | None = None, osm: DataFrame | None = None) -> DataFrame:
-    """(entity_id, type, types, confidence): wikidata's class (120) before the map's (110) before keywords."""
-    e = entities.select("entity_id", allowed(F.col("types")).alias("existing")).join(inferred(entities, evidence), "entity_id")
+def classify(entities: DataFrame, evidence: DataFrame, wikidata: DataFrame | None = None, osm: DataFrame | None = None, by_keywords: DataFrame | None = None) -> DataFrame:
+    """(entity_id, type, types, confidence): wikidata's class (120) before the map's (110) before keywords (those of
+    :func:`inferred`, unless given)."""
+    e = entities.select("entity_id", allowed(F.col("types")).alias("existing")).join(inferred(entities, evidence) if by_keywords is None else by_keywords, "entity_id")
     for other, name in ((wikidata, "wd"), (osm, "om")):
         e = e.join(other.where(F.col("type").isin(*dims.ALLOWED)).select("entity_id", F.col("type").alias(name)), "entity_id", "left") if other is not None else e.withColumn(name, F.lit(None).cast("string"))
     first = F.coalesce("wd", "om", primary(F.col("existing"), F.col("inferred"), F.col("confidence")))

@@ -8,7 +8,7 @@ from .. import dims
 from ..functions import text as T
 from ..functions.urls import site
 from ..operators import classify as C, enrich as E, export as X, graph as G, html as H, match as M, merge as R, report as A, resolve as V
-from ..sources.tables import table
+from ..sources.tables import cut, table
 from . import sql as S
 from .core import query
 from .scalar_queries import _BODY, _NOISE_IMG, _NOISE_SQL, _REASONS, _navigation_sql, _unq
@@ -163,7 +163,8 @@ _FIRST_ALLOWED = f"list_filter(coalesce(e.types, []), lambda x: x in {S.in_(dims
 @query(f"""with {_INFERRED} select e.entity_id, inf.t as inferred, cast(c as int) as confidence, case when inf.t <> '' and (c >= 60 or len({_ALLOWED}) = 0 or list_contains({_ALLOWED}, inf.t)) then inf.t else coalesce({_FIRST_ALLOWED}, inf.t) end as type from entities e join inf on e.entity_id = inf.entity_id""")
 def keyword_typing(spark, d):
     e, v = table(spark, d, "entities"), table(spark, d, "evidence")
-    return C.classify(e, v).select("entity_id", "type").join(C.inferred(e, v), "entity_id").select("entity_id", "inferred", "confidence", "type")
+    found = cut(C.inferred(e, v))
+    return C.classify(e, v, by_keywords=found).select("entity_id", "type").join(found, "entity_id").select("entity_id", "inferred", "confidence", "type")
 
 
 @query(f"""with {_INFERRED}, x as (select e.entity_id, case when inf.t <> '' and (c >= 60 or len({_ALLOWED}) = 0 or list_contains({_ALLOWED}, inf.t)) then inf.t else coalesce({_FIRST_ALLOWED}, inf.t) end p, inf.t q, {_ALLOWED} a, c from entities e join inf on e.entity_id = inf.entity_id)
