@@ -1,8 +1,9 @@
 """Problem 3: matching records of two tables that share no key, by name, address, coordinates and wikidataId.
 
-Method: records, their attributes and the attributes' tokens form a graph. Random walks over it (on a bounded sample of
-records) are the sentences on which skip-gram vectors with negative sampling are trained; a token's vector is the sum of
-the vectors of its letter trigrams, so words never walked over have one too. A record's name node is the idf-weighted sum
+Method: records, their attributes and the attributes' tokens form a graph. Random walks over all of it are the sentences of
+skip-gram vectors with negative samples; no walk is drawn, each step is the mean over all ways from all records, added up in
+tables of a fixed size. A token's vector is the sum of the vectors of its letter trigrams, so words never walked over have one
+too. A record's name node is the idf-weighted sum
 of its tokens. Records are blocked by tables of random hyperplanes over name nodes, within their city (as many tables as
 the bits that its size asks for); records of no known place by tables over all, into which they look with every bit turned
 once (multi-probe). Place nodes (cells of shifted grids, ends of streets with their number) are joined with a few
@@ -20,7 +21,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import partial
 
 import numpy as np
@@ -34,8 +35,9 @@ from ..functions.text import text
 from ..sources.tables import cut
 from .addresses import LINKS, NOTHING, Parser, fold, gazetteer_rows, one_edit, parser_of
 
-#: Bounds of the fit: records walked over, walks a record, steps a walk, dimensions, trigram buckets (2^BITS vectors).
-SAMPLE, WALKS, STEPS, DIM, BITS = 6_000, 2, 6, 64, 15
+#: The fit: steps of a walk that are a token's context, dimensions, trigram buckets (2^BITS vectors), tasks that add up walks at most,
+#: the part of a random vector's length by which it goes towards its context, and the visits with which it goes half of that.
+STEPS, DIM, BITS, PARTS, PULL, VISITS = 2, 64, 15, 32, 0.1, 1_000
 #: Directions shared by all trained vectors that are taken out of them.
 COMMON = 2
 #: Hyperplane tables over names: TABLES at least, and so many that names of cosine ALIKE share a bucket with probability HIT at any
@@ -137,77 +139,145 @@ def bucket(token: str) -> int:
     return zlib.crc32(token.encode()) & ((1 << BITS) - 1)
 
 
-def train(records: list[list[list[str]]], seed: int = 11) -> np.ndarray:
-    """Skip-gram vectors of trigram buckets, from random walks over record - attribute - token.
+def attributes(words: str, kind: str, lat: float | None, lng: float | None, street: str, city: str) -> list[list[str]]:
+    """The tokens of each attribute that a record has."""
+    return [a for a in (words.split() + kind.split(), cells(lat, lng) if lat is not None and lng is not None else [], street.split() + city.split()) if a]
 
-    ``records`` are lists of attributes, these lists of tokens. A walk goes from a token to a record that has it, by an
-    attribute, to another token of the record, and so on. Negative samples are drawn from the walks' tokens.
+
+class Walks:
+    """One step of all walks through records: per trigram bucket the visits and the sum of the vectors met.
+
+    A walk goes from a token to a record that has it, by an attribute, to another token of the record. All ways are added up,
+    each with its chance, so no walk is drawn. ``vectors`` are those of trigram buckets; a token's is their sum by the root of
+    their number. Sums are kept per token and spread over its trigrams when there are many, and at the end.
     """
-    rng = np.random.default_rng(seed)
-    inner = rng.normal(0, 1 / math.sqrt(DIM), (1 << BITS, DIM)).astype(np.float32)
-    holders: dict[str, list[int]] = defaultdict(list)
-    for r, attributes in enumerate(records):
-        for tokens in attributes:
-            for t in tokens:
-                holders[t].append(r)
-    names = list(holders)
-    at = {t: k for k, t in enumerate(names)}
-    left, right = [], []
-    rnd = np.random.default_rng(seed + 1)
-    for r0, attributes in enumerate(records):
-        if not any(attributes):
-            continue
-        for _ in range(WALKS):
-            r, walk = r0, []
-            for _ in range(STEPS):
-                full = [a for a in records[r] if a]
-                tokens = full[rnd.integers(len(full))]
-                t = tokens[rnd.integers(len(tokens))]
-                walk.append(at[t])
-                own = holders[t]
-                r = own[rnd.integers(len(own))]
-            for i, x in enumerate(walk):
-                for y in walk[max(0, i - 2) : i]:
-                    if x != y:
-                        left.append(x)
-                        right.append(y)
-    if not left:
-        return inner
-    size = max(len(trigrams(t)) for t in names)
-    ids = np.zeros((len(names), size), np.int64)
-    mask = np.zeros((len(names), size), np.float32)
-    for k, t in enumerate(names):
-        g = trigrams(t)
-        ids[k, : len(g)], mask[k, : len(g)] = g, 1 / math.sqrt(len(g))
-    outer = np.zeros((len(names), DIM), np.float32)
-    a, b = np.array(left), np.array(right)
-    order = rng.permutation(len(a))
-    for lo in range(0, len(order), 2048):
-        i, j = a[order[lo : lo + 2048]], b[order[lo : lo + 2048]]
-        neg = b[rng.integers(len(b), size=(len(i), 3))]
-        v = (inner[ids[i]] * mask[i][:, :, None]).sum(axis=1)
-        js = np.concatenate([j[:, None], neg], axis=1)
-        u = outer[js]
-        score = 1 / (1 + np.exp(-np.clip(np.einsum("nd,nkd->nk", v, u), -8, 8)))
-        score[:, 0] -= 1
-        g = 0.1 * score.astype(np.float32)
-        dv = np.einsum("nk,nkd->nd", g, u)
-        descend(outer, js.ravel(), (g[:, :, None] * v[:, None, :]).reshape(-1, DIM))
-        descend(inner, ids[i].ravel(), (dv[:, None, :] * mask[i][:, :, None]).reshape(-1, DIM))
-    # What all trained vectors share tells nothing apart, and would put all names on one side of a plane.
-    seen = np.unique(ids[mask > 0])
+
+    def __init__(self, vectors: np.ndarray):
+        self.vectors = vectors.astype(np.float32)
+        self.visits, self.sums = np.zeros(1 << BITS, np.int64), np.zeros((1 << BITS, DIM))
+        self.hashes: dict[str, int] = {}
+        self.clear()
+
+    def clear(self) -> None:
+        self.at: dict[str, int] = {}
+        self.grams: list[int] = []
+        self.sizes: list[int] = []
+        self.own, self.met, self.seen = np.zeros((0, DIM), np.float32), np.zeros((0, DIM)), np.zeros(0, np.int64)
+
+    def token(self, t: str) -> int:
+        k = self.at.get(t)
+        if k is None:
+            k, w, known = len(self.at), f"<{t}>", self.hashes
+            if len(known) > 200_000:
+                known.clear()
+            for i in range(len(w) - 2):
+                g = w[i : i + 3]
+                h = known.get(g)
+                if h is None:
+                    h = known[g] = zlib.crc32(g.encode()) & ((1 << BITS) - 1)
+                self.grams.append(h)
+            self.at[t] = k
+            self.sizes.append(len(w) - 2)
+        return k
+
+    def add(self, records: Iterable[list[list[str]]]) -> None:
+        old, start = len(self.at), len(self.grams)
+        token: list[int] = []
+        chance: list[float] = []
+        first: list[int] = []
+        for r in records:
+            if r:
+                first.append(len(token))
+            for tokens in r:
+                token += map(self.token, tokens)
+                chance += [1 / (len(r) * len(tokens))] * len(tokens)
+        if not token:
+            return
+        if len(self.at) > old:
+            size = np.array(self.sizes[old:])
+            own = np.add.reduceat(self.vectors[self.grams[start:]], np.cumsum(size) - size) / np.sqrt(size, dtype=np.float32)[:, None]
+            self.own = np.concatenate([self.own, own])
+            self.met = np.concatenate([self.met, np.zeros((len(size), DIM))])
+            self.seen = np.concatenate([self.seen, np.zeros(len(size), np.int64)])
+        at, p = np.array(token), np.array(chance, np.float32)
+        here = np.add.reduceat(self.own[at] * p[:, None], first)
+        order = np.argsort(at, kind="stable")
+        key, begin, n = np.unique(at[order], return_index=True, return_counts=True)
+        record = np.repeat(np.arange(len(first)), np.diff([*first, len(at)]))
+        self.met[key] += np.add.reduceat(here[record[order]], begin) - np.add.reduceat(p[order], begin)[:, None] * self.own[key]
+        self.seen[key] += n
+        if len(self.at) > 100_000:
+            self.spread()
+
+    def spread(self) -> None:
+        """Adds the tokens' sums to their trigrams' and forgets the tokens."""
+        size, gram = np.array(self.sizes, np.int64), np.array(self.grams, np.int64)
+        end = np.cumsum(size)
+        met = self.met / np.sqrt(np.maximum(1, size))[:, None]
+        np.add.at(self.visits, gram, np.repeat(self.seen, size))
+        for lo in range(0, len(size), 10_000):
+            hi = min(lo + 10_000, len(size))
+            g = gram[end[lo] - size[lo] : end[hi - 1]]
+            order = np.argsort(g, kind="stable")
+            key, begin = np.unique(g[order], return_index=True)
+            self.sums[key] += np.add.reduceat(met[np.repeat(np.arange(lo, hi), size[lo:hi])[order]], begin)
+        self.clear()
+
+
+def step(named: DataFrame, vectors: tuple[np.ndarray, np.ndarray] | int) -> tuple[np.ndarray, np.ndarray]:
+    """(visits, mean vector met) per trigram bucket, of one step of all walks over all records. ``vectors`` are buckets and their
+    vectors, or the seed of :func:`random_vectors`. Each of at most PARTS tasks sends one table of at most 2^BITS rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if isinstance(vectors, int):
+            table = random_vectors(vectors)
+        else:
+            table = np.zeros((1 << BITS, DIM), np.float32)
+            table[vectors[0]] = vectors[1]
+        walks = Walks(table)
+        for b in batches:
+            walks.add(attributes(*r) for r in zip(*(c.to_pylist() for c in b.columns)))
+        walks.spread()
+        key = np.flatnonzero(walks.visits)
+        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(walks.visits[key]), pa.array([x.tobytes() for x in walks.sums[key].astype(np.float32)], pa.binary())], names=["g", "n", "v"])
+
+    parts = named.select("words", "class", "lat", "lng", "street", "city").coalesce(min(PARTS, named.sparkSession.sparkContext.defaultParallelism))
+    visits, sums = np.zeros(1 << BITS, np.int64), np.zeros((1 << BITS, DIM))
+    for g, n, v in parts.mapInArrow(run, "g bigint, n bigint, v binary").collect():
+        visits[g] += n
+        sums[g] += np.frombuffer(v, np.float32)
+    return visits, sums / np.maximum(1, visits)[:, None]
+
+
+def random_vectors(seed: int) -> np.ndarray:
+    return np.random.default_rng(seed).normal(0, 1 / math.sqrt(DIM), (1 << BITS, DIM)).astype(np.float32)
+
+
+def fit(named: DataFrame, seed: int = 11) -> np.ndarray:
+    """Skip-gram vectors of trigram buckets, from the random walks over record - attribute - token of all records.
+
+    A token's context are the tokens that walks reach from it in one to STEPS steps, against those that walks meet anywhere (the
+    negative samples). Both are means over all walks, none drawn: the bucket's random vector goes towards the first and away
+    from the second, as far as it was met often.
+    """
+    inner = random_vectors(seed).astype(float)
+    at: tuple[np.ndarray, np.ndarray] | int = seed
+    for _ in range(STEPS):
+        visits, met = step(named, at)
+        seen = visits > 0
+        if not seen.any():
+            break
+        away = met[seen] - np.average(met[seen], axis=0, weights=visits[seen])
+        away /= max(1e-9, math.sqrt(np.average((away**2).sum(axis=1), weights=visits[seen])))
+        inner[seen] += PULL / STEPS * away * (visits[seen] / (visits[seen] + VISITS))[:, None]
+        at = np.flatnonzero(seen), away.astype(np.float32)
+    if not seen.any():
+        return inner.astype(np.float32)
+    # What all vectors share tells nothing apart, and would put all names on one side of a plane.
     own = inner[seen] - inner[seen].mean(axis=0)
     top = np.linalg.svd(own, full_matrices=False)[2][:COMMON]
     inner[seen] = own - own @ top.T @ top
-    return inner
-
-
-def descend(table: np.ndarray, rows: np.ndarray, gradient: np.ndarray) -> None:
-    """Takes the mean gradient of each row from it, in place."""
-    order = np.argsort(rows, kind="stable")
-    first = np.flatnonzero(np.diff(rows[order], prepend=-1))
-    sums = np.add.reduceat(gradient[order], first)
-    table[rows[order[first]]] -= sums / np.diff(np.append(first, len(rows)))[:, None]
+    return inner.astype(np.float32)
 
 
 class Nodes:
@@ -540,12 +610,16 @@ class Blocks:
         rows.append(np.repeat(i, len(t) * (self.over + 1)))
         keys.append(mixed(3 - side, np.broadcast_to(t[None, :, None], turned.shape), turned).ravel())
         more: list[tuple[int, int]] = []
-        shared = np.isin(self.common_buckets(codes), self.busy) if len(self.busy) else None
+        # The right rows look around the buckets of common names with every bit turned once.
+        around = self.common_buckets(codes) if len(self.busy) else np.zeros((n, 0), np.int64)
+        if side and len(self.busy):
+            around = np.concatenate([around, *(around ^ (1 << k) for k in range(COMMON_BITS))], axis=1)
+        shared = np.isin(around, self.busy) if len(self.busy) else None
         for i, (lat, lng, city, street, number) in enumerate(zip(*(d[c] for c in ("lat", "lng", "city", "street", "number")))):
             if shared is not None and shared[i].any():
                 for token in place_tokens(side, lat, lng, city, street, number):
                     h = named_key("h|" + token)
-                    more += [(i, int(k)) for k in mixed(4, h, self.common_buckets(codes[i : i + 1])[0][shared[i]])]
+                    more += [(i, int(k)) for k in mixed(4, h, around[i][shared[i]])]
             if lat is not None and lng is not None:
                 for g, cell in enumerate(cells(lat, lng)):
                     k = int(self.blocks[crowd_bucket(cell)])
@@ -569,7 +643,7 @@ def matches(left: DataFrame, right: DataFrame, gazetteer: DataFrame, left_key: s
     """(unit, kb, confidence, cosine): units of the left table and rows of the right one that mean the same thing."""
     own = parsed(left, gazetteer, left_key, 0, left_group)
     named = cut((units(own) if left_group else singles(own)).unionByName(singles(parsed(right, gazetteer, right_key, 1, None))))
-    # Frequencies over all records, in buckets: of name tokens, of whole names and of cells; the sample for the fit.
+    # Frequencies over all records, in buckets: of name tokens, of whole names and of cells.
     total = max(1, named.count())
     frequency, same, crowd, wide = np.zeros(1 << BITS), np.zeros(1 << CROWD), np.zeros(1 << CROWD), np.zeros(1 << CROWD)
 
@@ -596,10 +670,7 @@ def matches(left: DataFrame, right: DataFrame, gazetteer: DataFrame, left_key: s
     # One number per city of the gazetteer.
     cities = {r["c"]: r["n"] for r in named.select(F.explode(F.array_distinct(F.array("city", "near"))).alias("c")).where("c <> ''").groupBy("c").agg(F.count("*").alias("n")).collect()}
     common = common_names(named, np.flatnonzero(same > HOT))
-    # The sample is the same whatever the partitions: rows of the smallest hashes.
-    chance = F.pmod(F.xxhash64("side", "unit", "words", F.lit(5)), F.lit(1 << 30)) < int(min(1.0, 1.2 * SAMPLE / total) * (1 << 30))
-    sample = named.where(chance).orderBy(F.xxhash64("side", "unit", "words", F.lit(5)), "side", "unit", "words").limit(SAMPLE).collect()
-    vectors = train([[r["words"].split() + r["class"].split(), cells(r["lat"], r["lng"]) if r["lat"] is not None and r["lng"] is not None else [], r["street"].split() + r["city"].split()] for r in sample])
+    vectors = fit(named)
     blocks = Blocks(total, cities, wide, np.ceil(np.maximum(crowd, 1) / HOT).astype(np.int64), common)
     blocks.busy = np.unique(blocks.common_buckets(blocks.codes(Nodes(vectors, frequency, total).of(sorted({w for w, *_ in common})))))
     named = named.withColumn("nid", F.xxhash64("side", "unit", "words"))
@@ -699,18 +770,56 @@ def decided(best: DataFrame) -> DataFrame:
     return b.withColumn("same", named & F.coalesce(placed, vague) | known)
 
 
-def calibrated(best: DataFrame, most: int = 20_000) -> DataFrame:
-    """The pairs that are the same, with a confidence: logistic regression of identifier agreement on cosine and name, fit on at
-    most ``most`` pairs that both carry one."""
-    rows = best.where("wd <> 0").orderBy(F.xxhash64("unit", "kb"), "unit", "kb").select("cosine", "name", "kind", "km", "city", "street", "wd").limit(most).collect()
-    feature = lambda c, n, k, km, ci, st: [1.0, c, n, k, -1.0 if km > NEAR_KM else 0.0 if km < 0 else 1.0, ci, st]
-    x = np.array([feature(*r[:6]) for r in rows], float).reshape(-1, 7)
-    y = np.array([r[6] == 1 for r in rows], float)
-    w = np.array([-1.0, 1.0, 1.0, 0.5, 2.0, 0.5, 1.0])
-    if len(y) >= 20 and 0 < y.mean() < 1:
-        for _ in range(300):
-            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-            w += 0.5 * (x.T @ (y - p) / len(y) - 1e-3 * w)
+def weights(best: DataFrame) -> np.ndarray:
+    """Logistic regression of identifier agreement on cosine, name, class and places, fit on all pairs that both carry one, by
+    Newton's method.
+
+    Tasks send sums of a fixed size: pairs, agreeing ones, loss, gradient and Hessian. With under 20 pairs, or all of one kind,
+    the weights are those of the start.
+    """
+    rows = best.where("wd <> 0").select("cosine", "name", "kind", "km", "city", "street", "wd")
+    start = np.array([-1.0, 1.0, 1.0, 0.5, 2.0, 0.5, 1.0])
+    k = len(start)
+
+    def sums(w: np.ndarray) -> np.ndarray:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(3 + k + k * k)
+            for b in batches:
+                c = [x.to_numpy(zero_copy_only=False).astype(float) for x in b.columns]
+                x = np.column_stack([np.ones(len(c[0])), *c[:3], np.where(c[3] > NEAR_KM, -1.0, np.where(c[3] < 0, 0.0, 1.0)), c[4], c[5]])
+                y, z = c[6] == 1, x @ w
+                p = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+                total += np.concatenate([[len(y), y.sum(), (np.logaddexp(0, z) - y * z).sum()], x.T @ (p - y), (x.T * (p * (1 - p)) @ x).ravel()])
+            yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], names=["s"])
+
+        return sum((np.array(r["s"]) for r in rows.mapInArrow(run, "s array<double>").collect()), np.zeros(3 + k + k * k))
+
+    w, s = start, sums(start)
+    n = s[0]
+    if n < 20 or s[1] in (0, n):
+        return start
+    penalty = 1e-3
+    cost = lambda w, s: s[2] / n + penalty * w @ w / 2
+    while True:
+        gradient = s[3 : 3 + k] / n + penalty * w
+        move = np.linalg.solve(s[3 + k :].reshape(k, k) / n + penalty * np.eye(k), gradient)
+        if gradient @ move < 1e-12:
+            return w
+        part, old = 1.0, cost(w, s)
+        while True:
+            s = sums(w - part * move)
+            if cost(w - part * move, s) <= old + 1e-12 or part < 1e-6:
+                break
+            part /= 2
+        w = w - part * move
+        if part < 1e-6:
+            return w
+
+
+def calibrated(best: DataFrame) -> DataFrame:
+    """The pairs that are the same, with a confidence: logistic regression of identifier agreement on cosine, name and places, fit on
+    all pairs that both carry one."""
+    w = weights(best)
     place = F.when(F.col("km") > NEAR_KM, -1.0).when(F.col("km") < 0, 0.0).otherwise(1.0)
     z = sum((F.lit(float(a)) * c for a, c in zip(w[1:], (F.col("cosine"), F.col("name"), F.col("kind"), place, F.col("city"), F.col("street")))), F.lit(float(w[0])))
     return best.where("same").select("unit", "kb", F.round(1 / (1 + F.exp(-z)), 4).alias("confidence"), F.round("cosine", 4).alias("cosine"))

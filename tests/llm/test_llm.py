@@ -148,6 +148,42 @@ def test_edits():
     assert matching.edits("abcdef", "abdcef") == 1 and matching.edits("abcdef", "abcdef") == 0 and matching.edits("abcdef", "xyzdef") == 3
 
 
+def test_all_records_are_walked_over(spark):
+    cols = "words string, class string, lat double, lng double, street string, city string"
+    rows = [("torre vieja", "castle", 42.3, -3.7, "mayor", "lerma"), ("torre", "", None, None, "", ""), ("vieja vieja", "", None, None, "sol", "lerma"), ("", "", None, None, "", "")]
+    vectors = matching.random_vectors(1)
+    own = lambda t: vectors[matching.trigrams(t)].sum(axis=0) / math.sqrt(len(matching.trigrams(t)))
+    visits, sums = collections.Counter(), {}
+    for r in rows:
+        a = matching.attributes(*r)
+        for k, tokens in enumerate(a):
+            for i, t in enumerate(tokens):
+                met = sum(own(o) / len(a) / len(os) for n, os in enumerate(a) for j, o in enumerate(os) if (n, j) != (k, i))
+                for g in matching.trigrams(t):
+                    visits[g] += 1
+                    sums[g] = sums.get(g, 0) + met / math.sqrt(len(matching.trigrams(t)))
+    for parts in (1, 3):
+        n, mean = matching.step(spark.createDataFrame(rows, cols).repartition(parts), 1)
+        assert {g: n[g] for g in np.flatnonzero(n)} == visits
+        assert all(np.allclose(mean[g], sums[g] / visits[g], atol=1e-5) for g in visits)
+    many = spark.range(9000).selectExpr("'torre' words", "if(id < 8999, '', 'castle') class", "cast(null as double) lat", "cast(null as double) lng", "'' street", "'' city")
+    n, mean = matching.step(many, (np.arange(1 << matching.BITS), vectors))
+    assert n[matching.trigrams("torre")[0]] == 9000 and n[matching.trigrams("castle")[0]] == 1 and mean[matching.trigrams("castle")[0]].any()
+    assert np.allclose(matching.fit(many), matching.fit(many.repartition(7)), atol=1e-5)
+    assert not matching.step(many.where("false"), 1)[0].any()
+
+
+def test_confidence_is_fit_on_all_pairs(spark):
+    pairs = spark.range(24_000).selectExpr("id unit", "id kb", "0.5D + (id % 7) / 20D cosine", "0.4D + (id % 11) / 20D name", "1 kind", "-1D km", "0 city", "0 street", "if(id % 11 + id % 5 > 6, 1, -1) wd", "id < 5 same")
+    r = pairs.toPandas()
+    x = np.column_stack([np.ones(len(r)), r.cosine, r.name, r.kind, np.zeros(len(r)), r.city, r.street])
+    w = matching.weights(pairs)
+    p = 1 / (1 + np.exp(-x @ w))
+    assert np.abs(x.T @ (p - (r.wd == 1)) / len(r) + 1e-3 * w).max() < 1e-5
+    got = {a["unit"]: a["confidence"] for a in matching.calibrated(pairs).collect()}
+    assert set(got) == set(range(5)) and all(abs(got[k] - p[k]) < 1e-4 for k in got)
+
+
 # 4: addresses
 
 
