@@ -485,3 +485,19 @@ def test_nothing_is_wrapper_without_matches():
     assert boilerplate.match([], []) == [] and "matched" in _COUNTS
     long = boilerplate.lines_of("\n".join(f"Frase número {k} de la página larga que se repite." for k in range(2000)))
     assert len(boilerplate.match(long, long)) == 2000
+
+
+def test_partners_that_are_no_neighbours_count(spark, monkeypatch):
+    rows = [("p", k, f"http://{s}.es/{k}", "\n".join(x for x, _ in ls)) for k, s, ls in site_pages(120)]
+    # Three pages in sixty of a host have a notice; one that is there three times over has another.
+    for k in (1, 41, 81):
+        rows[k] = (*rows[k][:3], rows[k][3] + "\nPueden pedir la hoja mensual de la comarca en cualquier oficina del valle.")
+    rows += [("q", k, "http://b.es/x", rows[3][3] + "\nQuien quiera copias del plano puede pedirlas en la tienda de la villa.") for k in range(3)]
+    df = spark.createDataFrame(rows, "table_name string, record_id bigint, url string, text string")
+    found = {}
+    for n in (1, 8, 200):
+        monkeypatch.setattr(boilerplate, "NEIGHBOURS", n)
+        found[n] = {tuple(r) for r in boilerplate.find_boilerplate(df).collect()}
+    assert found[1] == found[8] == found[200]
+    last = {(r[0], r[1]): r[3].count("\n") for r in rows}
+    assert all(("p", k, last["p", k]) in found[1] for k in (1, 41, 81)) and not any(("q", k, last["q", k]) in found[1] for k in range(3))
