@@ -57,10 +57,23 @@ _POSTCODE = regex.compile(r"(?<!\d)\d{5}(?!\d)")
 _ALNUM = regex.compile(r"[a-z0-9]+")
 
 
+class _Bare(dict):
+    """For translate(): drops combining marks. Letters met are remembered."""
+
+    def __missing__(self, c: int) -> int | None:
+        self[c] = None if unicodedata.combining(chr(c)) else c
+        return self[c]
+
+
+_BARE = _Bare()
+
+
 def fold(text: str) -> str:
     """Lower case without accents; ordinal signs become o and a."""
-    t = unicodedata.normalize("NFKD", text.lower().replace("º", "o").replace("ª", "a").replace("°", "o"))
-    return " ".join("".join(c for c in t if not unicodedata.combining(c)).split())
+    t = text.lower()
+    if not t.isascii():
+        t = unicodedata.normalize("NFKD", t.replace("º", "o").replace("ª", "a").replace("°", "o")).translate(_BARE)
+    return " ".join(t.split())
 
 
 def deletions(word: str) -> set[str]:
@@ -110,6 +123,10 @@ class Parser:
         for key in self.provinces:
             for d in deletions(key.replace(" ", "")) if len(key) > 5 else ():
                 self.near_provinces.setdefault(d, set()).add((key.replace(" ", ""), key))
+        # The numbers of words of places, by their first word.
+        self.lengths: dict[str, set[int]] = {}
+        for key in [*self.cities, *self.provinces]:
+            self.lengths.setdefault(key.split(" ")[0], set()).add(len(key.split(" ")))
         self.most = max((len(k.split()) for k in [*self.cities, *self.provinces]), default=1) + 2
 
     def place(self, name: str) -> str:
@@ -118,10 +135,14 @@ class Parser:
     def _find(self, words: list[str], exact, near: dict[str, set[tuple[str, str]]]) -> tuple[int, int, str] | None:
         """The longest run of words that is a place as written; else a part (between bars) within one edit of a place."""
         kept = [(i, w) for i, w in enumerate(words) if w not in LINKS]
-        for n in range(min(self.most, len(kept)), 0, -1):
-            for k in range(len(kept) - n, -1, -1):
-                if (key := " ".join([w for _, w in kept[k : k + n]])) in exact:
-                    return kept[k][0], kept[k + n - 1][0] + 1, key
+        best = None
+        for k, (_, first) in enumerate(kept):
+            for n in self.lengths.get(first, ()):
+                if k + n <= len(kept) and (best is None or (n, k) > best[:2]) and (key := " ".join([w for _, w in kept[k : k + n]])) in exact:
+                    best = n, k, key
+        if best is not None:
+            n, k, key = best
+            return kept[k][0], kept[k + n - 1][0] + 1, key
         i = 0
         for part in " ".join(words).split("|"):
             run = part.split()

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import text
 from ..sources.tables import cut
-from .addresses import LINKS, NOTHING, Parser, fold, gazetteer_rows, one_edit, parser_of
+from .addresses import LINKS, Parser, fold, gazetteer_rows, one_edit, parser_of
 
 #: The fit: steps of a walk that are a token's context, dimensions, trigram buckets (2^BITS vectors), tasks that add up walks at most,
 #: the part of a random vector's length by which it goes towards its context, and the visits with which it goes half of that.
@@ -144,84 +144,111 @@ def attributes(words: str, kind: str, lat: float | None, lng: float | None, stre
     return [a for a in (words.split() + kind.split(), cells(lat, lng) if lat is not None and lng is not None else [], street.split() + city.split()) if a]
 
 
+#: The checksum of three letters is the sum (xor) of one number for each, as CRC-32 is linear.
+_THREE = [np.array([zlib.crc32(bytes(c if k == i else 0 for k in range(3))) & ((1 << BITS) - 1) for c in range(128)], np.int64) for i in range(3)]
+#: Rows of a run that are added up one by one for all runs together; the rest of a run is added up by itself.
+LONG = 64
+
+
+def grams(tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The trigrams() of all tokens, one after the other, and the number of each token's."""
+    size = np.fromiter(map(len, tokens), np.int64, len(tokens))
+    letters = np.frombuffer("".join([f"<{t}>" for t in tokens]).encode(), np.uint8)
+    if len(letters) > size.sum() + 2 * len(size):  # not all are ASCII
+        return np.array([h for t in tokens for h in trigrams(t)], np.int64), size
+    at = np.arange(size.sum()) + np.repeat(2 * np.arange(len(size)), size)
+    return _THREE[0][letters[at]] ^ _THREE[1][letters[at + 1]] ^ _THREE[2][letters[at + 2]], size
+
+
+def run_sums(table: np.ndarray, index: np.ndarray, n: np.ndarray, weight: np.ndarray | None = None) -> np.ndarray:
+    """Sums of ``table[index]``, times ``weight``, over runs of ``n`` rows. Runs are added up side by side, the longest first: reduceat
+    takes many times as long for short runs."""
+    order = np.argsort(-n, kind="stable")
+    start, n = (np.cumsum(n) - n)[order], n[order]
+    out = np.zeros((len(n), table.shape[1]), table.dtype)
+    for k in range(min(LONG, int(n[0]) if len(n) else 0)):
+        at = start[: np.searchsorted(-n, -k)] + k
+        x = table.take(index[at], axis=0)
+        if weight is not None:
+            x *= weight[at][:, None]
+        out[: len(at)] += x
+    for i in range(np.searchsorted(-n, -LONG)):
+        at = slice(start[i] + LONG, start[i] + n[i])
+        x = table.take(index[at], axis=0)
+        if weight is not None:
+            x *= weight[at][:, None]
+        out[i] += x.sum(axis=0, dtype=np.float64)
+    sums = np.empty_like(out)
+    sums[order] = out
+    return sums
+
+
+def occurrences(records: pa.Table) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """(tokens, token, record, chance): the distinct tokens of :func:`attributes` of all records (words, class, lat, lng, street, city),
+    and for each that a record has, by record, the chance that a walk takes it from there."""
+
+    def split(name: str) -> tuple[pa.Array, np.ndarray]:
+        parts = pc.utf8_split_whitespace(records[name].combine_chunks())
+        of = np.repeat(np.arange(len(parts)), pc.list_value_length(parts).to_numpy(zero_copy_only=False))
+        tokens = parts.flatten()
+        full = pc.not_equal(tokens, "")
+        return tokens.filter(full), of[full.to_numpy(zero_copy_only=False)]
+
+    lat, lng = (records[c].to_numpy().astype(float) for c in ("lat", "lng"))
+    here = np.flatnonzero(pc.and_(pc.is_valid(records["lat"]), pc.is_valid(records["lng"])).to_numpy())
+    groups = [[split("words"), split("class")], [(c, here) for c in cell_columns(lat[here], lng[here])], [split("street"), split("city")]]
+    had = [np.bincount(np.concatenate([of for _, of in g]), minlength=records.num_rows) for g in groups]
+    full = sum((h > 0).astype(np.int64) for h in had)
+    record = np.concatenate([of for g in groups for _, of in g])
+    chance = np.concatenate([1 / (full[of] * h[of]) for g, h in zip(groups, had) for _, of in g])
+    tokens = pa.concat_arrays([t for g in groups for t, _ in g]).dictionary_encode()
+    order = np.argsort(record, kind="stable")
+    return tokens.dictionary.to_pylist(), tokens.indices.to_numpy(zero_copy_only=False).astype(np.int64)[order], record[order], chance[order].astype(np.float32)
+
+
 class Walks:
     """One step of all walks through records: per trigram bucket the visits and the sum of the vectors met.
 
     A walk goes from a token to a record that has it, by an attribute, to another token of the record. All ways are added up,
     each with its chance, so no walk is drawn. ``vectors`` are those of trigram buckets; a token's is their sum by the root of
-    their number. Sums are kept per token and spread over its trigrams when there are many, and at the end.
+    their number. Sums are made per token and spread over its trigrams, BYTES of records at a time.
     """
 
+    BYTES = 3 << 20
+
     def __init__(self, vectors: np.ndarray):
         self.vectors = vectors.astype(np.float32)
         self.visits, self.sums = np.zeros(1 << BITS, np.int64), np.zeros((1 << BITS, DIM))
-        self.hashes: dict[str, int] = {}
-        self.clear()
 
-    def clear(self) -> None:
-        self.at: dict[str, int] = {}
-        self.grams: list[int] = []
-        self.sizes: list[int] = []
-        self.own, self.met, self.seen = np.zeros((0, DIM), np.float32), np.zeros((0, DIM)), np.zeros(0, np.int64)
-
-    def token(self, t: str) -> int:
-        k = self.at.get(t)
-        if k is None:
-            k, w, known = len(self.at), f"<{t}>", self.hashes
-            if len(known) > 200_000:
-                known.clear()
-            for i in range(len(w) - 2):
-                g = w[i : i + 3]
-                h = known.get(g)
-                if h is None:
-                    h = known[g] = zlib.crc32(g.encode()) & ((1 << BITS) - 1)
-                self.grams.append(h)
-            self.at[t] = k
-            self.sizes.append(len(w) - 2)
-        return k
-
-    def add(self, records: Iterable[list[list[str]]]) -> None:
-        old, start = len(self.at), len(self.grams)
-        token: list[int] = []
-        chance: list[float] = []
-        first: list[int] = []
-        for r in records:
-            if r:
-                first.append(len(token))
-            for tokens in r:
-                token += map(self.token, tokens)
-                chance += [1 / (len(r) * len(tokens))] * len(tokens)
-        if not token:
+    def add_all(self, batches: Iterable[pa.RecordBatch]) -> None:
+        """Adds the records of all batches; they are gathered, as a token is worked out once for all its records at hand."""
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            rows = max(1, b.num_rows * self.BYTES // max(1, b.nbytes))
+            for lo in range(0, b.num_rows, rows):
+                held.append(b.slice(lo, rows))
+                if len(held) > 1 and sum(x.nbytes for x in held) > self.BYTES:
+                    self.add(pa.Table.from_batches(held[:-1]))
+                    held = held[-1:]
+        if held:
+            self.add(pa.Table.from_batches(held))
+
+    def add(self, records: pa.Table) -> None:
+        tokens, at, record, p = occurrences(records)
+        if not len(at):
             return
-        if len(self.at) > old:
-            size = np.array(self.sizes[old:])
-            own = np.add.reduceat(self.vectors[self.grams[start:]], np.cumsum(size) - size) / np.sqrt(size, dtype=np.float32)[:, None]
-            self.own = np.concatenate([self.own, own])
-            self.met = np.concatenate([self.met, np.zeros((len(size), DIM))])
-            self.seen = np.concatenate([self.seen, np.zeros(len(size), np.int64)])
-        at, p = np.array(token), np.array(chance, np.float32)
-        here = np.add.reduceat(self.own[at] * p[:, None], first)
+        gram, size = grams(tokens)
+        root = np.sqrt(np.maximum(1, size), dtype=np.float32)[:, None]
+        own = run_sums(self.vectors, gram, size) / root
+        here = run_sums(own, at, np.bincount(record, minlength=records.num_rows), p)
+        # What each token meets in its records, but not itself.
         order = np.argsort(at, kind="stable")
-        key, begin, n = np.unique(at[order], return_index=True, return_counts=True)
-        record = np.repeat(np.arange(len(first)), np.diff([*first, len(at)]))
-        self.met[key] += np.add.reduceat(here[record[order]], begin) - np.add.reduceat(p[order], begin)[:, None] * self.own[key]
-        self.seen[key] += n
-        if len(self.at) > 100_000:
-            self.spread()
-
-    def spread(self) -> None:
-        """Adds the tokens' sums to their trigrams' and forgets the tokens."""
-        size, gram = np.array(self.sizes, np.int64), np.array(self.grams, np.int64)
-        end = np.cumsum(size)
-        met = self.met / np.sqrt(np.maximum(1, size))[:, None]
-        np.add.at(self.visits, gram, np.repeat(self.seen, size))
-        for lo in range(0, len(size), 10_000):
-            hi = min(lo + 10_000, len(size))
-            g = gram[end[lo] - size[lo] : end[hi - 1]]
-            order = np.argsort(g, kind="stable")
-            key, begin = np.unique(g[order], return_index=True)
-            self.sums[key] += np.add.reduceat(met[np.repeat(np.arange(lo, hi), size[lo:hi])[order]], begin)
-        self.clear()
+        seen = np.bincount(at, minlength=len(size))
+        met = run_sums(here, record[order], seen) - np.bincount(at, weights=p, minlength=len(size)).astype(np.float32)[:, None] * own
+        order = np.argsort(gram, kind="stable")
+        key, n = np.unique(gram, return_counts=True)
+        self.visits += np.bincount(gram, weights=np.repeat(seen, size), minlength=1 << BITS).astype(np.int64)
+        self.sums[key] += run_sums(met / root, np.repeat(np.arange(len(size)), size)[order], n)
 
 
 def step(named: DataFrame, vectors: tuple[np.ndarray, np.ndarray] | int) -> tuple[np.ndarray, np.ndarray]:
@@ -235,9 +262,7 @@ def step(named: DataFrame, vectors: tuple[np.ndarray, np.ndarray] | int) -> tupl
             table = np.zeros((1 << BITS, DIM), np.float32)
             table[vectors[0]] = vectors[1]
         walks = Walks(table)
-        for b in batches:
-            walks.add(attributes(*r) for r in zip(*(c.to_pylist() for c in b.columns)))
-        walks.spread()
+        walks.add_all(batches)
         key = np.flatnonzero(walks.visits)
         yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(walks.visits[key]), pa.array([x.tobytes() for x in walks.sums[key].astype(np.float32)], pa.binary())], names=["g", "n", "v"])
 
@@ -280,14 +305,23 @@ def fit(named: DataFrame, seed: int = 11) -> np.ndarray:
     return inner.astype(np.float32)
 
 
+def grown(table: np.ndarray, full: int, more: int) -> np.ndarray:
+    """The table, or one twice as long at least, with room for so many rows more than are full."""
+    if full + more <= len(table):
+        return table
+    out = np.zeros((max(2 * len(table), full + more), table.shape[1]), table.dtype)
+    out[:full] = table[:full]
+    return out
+
+
 class Nodes:
     """Unit vectors of attributes: their tokens' vectors by squared idf. Tokens' vectors are remembered."""
 
     def __init__(self, vectors: np.ndarray, frequency: np.ndarray, total: float):
         self.vectors, self.frequency, self.total = vectors, frequency, total
-        self.known: dict[str, np.ndarray] = {}
-        self.none = np.zeros(DIM, np.float32)
         self.weights: dict[str, float] = {}
+        self.known: dict[str, int] = {}
+        self.tokens = np.zeros((1024, DIM), np.float32)
         self.at: dict[str, int] = {}
         self.matrix = np.zeros((1024, DIM), np.float32)
 
@@ -299,17 +333,24 @@ class Nodes:
             x = self.weights[w] = math.log(1 + self.total / (1 + float(self.frequency[bucket("n:" + w)]))) ** 2
         return x
 
-    def token(self, w: str) -> np.ndarray:
-        v = self.known.get(w)
-        if v is None:
-            if len(self.known) > 200_000:
-                self.known.clear()
-            x = self.vectors[trigrams(w)].sum(axis=0)
-            v = self.known[w] = x * np.float32(self.weight(w) / (float(np.sqrt(x @ x)) or 1.0))
-        return v
+    def words(self, words: list[str]) -> np.ndarray:
+        """Rows of ``self.tokens`` for the words; words seen before are not computed again."""
+        if len(self.known) > 200_000:
+            self.known.clear()
+        new = [w for w in dict.fromkeys(words) if w not in self.known]
+        if new:
+            x = run_sums(self.vectors, *grams(new))
+            length = np.sqrt(np.einsum("ij,ij->i", x, x))
+            old = len(self.known)
+            self.tokens = grown(self.tokens, old, len(new))
+            self.tokens[old : old + len(new)] = x * (np.fromiter(map(self.weight, new), float, len(new)) / np.where(length, length, 1.0)).astype(np.float32)[:, None]
+            self.known.update(zip(new, range(old, old + len(new))))
+        return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
 
     def of(self, names: list[str]) -> np.ndarray:
-        v = np.stack([sum(map(self.token, n.split()), self.none) for n in names]) if names else np.zeros((0, DIM), np.float32)
+        words = [n.split() for n in names]
+        at = self.words([w for x in words for w in x])
+        v = run_sums(self.tokens, at, np.fromiter(map(len, words), np.int64, len(words)))
         return v / np.maximum(1e-9, np.sqrt((v * v).sum(axis=1)))[:, None]
 
     def rows(self, names: list[str], most: int = 200_000) -> np.ndarray:
@@ -319,10 +360,7 @@ class Nodes:
         new = [n for n in dict.fromkeys(names) if n not in self.at]
         if new:
             old = len(self.at)
-            if old + len(new) > len(self.matrix):
-                grown = np.zeros((max(2 * len(self.matrix), old + len(new)), DIM), np.float32)
-                grown[:old] = self.matrix[:old]
-                self.matrix = grown
+            self.matrix = grown(self.matrix, old, len(new))
             self.matrix[old : old + len(new)] = self.of(new)
             self.at.update(zip(new, range(old, old + len(new))))
         return np.fromiter(map(self.at.__getitem__, names), np.int64, len(names))
@@ -365,17 +403,33 @@ def close(w: str, o: str) -> bool:
 
 
 def edits(a: str, b: str, most: int = 2) -> int:
-    """Levenshtein distance with neighbours swapped as one, exact up to ``most``."""
-    before, last = None, list(range(len(b) + 1))
+    """Levenshtein distance with neighbours swapped as one, exact up to ``most``; ``most`` + 1 for all beyond."""
+    far = most + 1
+    if a == b:
+        return 0
+    # Equal beginnings and ends cost nothing.
+    n = min(len(a), len(b))
+    i = 0
+    while i < n and a[i] == b[i]:
+        i += 1
+    k = 0
+    while k < n - i and a[-1 - k] == b[-1 - k]:
+        k += 1
+    a, b = a[i : len(a) - k], b[i : len(b) - k]
+    if abs(len(a) - len(b)) > most:
+        return far
+    before, last = None, [min(j, far) for j in range(len(b) + 1)]
     for i, x in enumerate(a, 1):
-        row = [i]
-        for j, y in enumerate(b, 1):
-            v = min(last[j] + 1, row[j - 1] + 1, last[j - 1] + (x != y))
+        # Only so near the diagonal can a distance be within ``most``.
+        row = [min(i, far), *[far] * len(b)]
+        for j in range(max(1, i - most), min(len(b), i + most) + 1):
+            y = b[j - 1]
+            v = min(last[j] + 1, row[j - 1] + 1, last[j - 1] + (x != y), far)
             if before is not None and j > 1 and x == b[j - 2] and a[i - 2] == y:
                 v = min(v, before[j - 2] + 1)
-            row.append(v)
+            row[j] = v
         if min(row) > most:
-            return most + 1
+            return far
         before, last = last, row
     return last[-1]
 
@@ -398,12 +452,13 @@ class Centers:
             wide = high / max(0.01, math.cos(math.radians(min(89.0, abs(lat) + high))))
             for y in range(math.floor(lat - high), math.floor(lat + high) + 1):
                 for x in range(math.floor(lng - wide), math.floor(lng + wide) + 1):
-                    self.at[y, x].append((parser.place(city), lat, lng, radius or 0.0))
+                    # Beyond so many degrees no point is within the radius (near the poles longitudes tell nothing).
+                    self.at[y, x].append((parser.place(city), lat, lng, radius or 0.0, high, wide if abs(lat) + high <= 89 else 360.0))
 
     def of(self, lat: float | None, lng: float | None) -> str:
         if lat is None or lng is None or not self.at:
             return ""
-        best = min(((km, city) for city, y, x, radius in self.at.get((math.floor(lat), math.floor(lng)), ()) if (km := distance(lat, lng, y, x)) <= radius), default=None)
+        best = min(((km, city) for city, y, x, radius, high, wide in self.at.get((math.floor(lat), math.floor(lng)), ()) if abs(lat - y) <= high and abs(lng - x) <= wide and (km := distance(lat, lng, y, x)) <= radius), default=None)
         return best[1] if best else ""
 
 
@@ -428,7 +483,7 @@ def parsed(records: DataFrame, gazetteer: DataFrame, key: str, side: int, group:
             for name, kind, address, lat, lng in zip(*(b.column(i).to_pylist() for i in (2, 3, 4, 5, 6))):
                 c, words, city = names.parse(name)
                 # Of an address the street and number are matched within its city only.
-                a = parser.parse(address) if address and fold(address) not in NOTHING else None
+                a = parser.parse(address)
                 out.append((c or TYPES.get(kind or "", ""), words, city or (a[0] if a else ""), around.of(lat, lng), a[2] if a else "", a[3] if a else ""))
             cols = list(zip(*out)) if out else [[]] * 6
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(list(c), pa.string()) for c in cols], b.column(5), b.column(6), b.column(7)], names=["id", "unit", "class", "words", "city", "near", "street", "number", "lat", "lng", "wd"])
@@ -468,6 +523,14 @@ def cells(lat: float, lng: float, size: float = CELL) -> list[str]:
     return [f"{g}:{math.floor(lat / size + g / GRIDS)}:{math.floor(lng * band / size + (g * 2 % GRIDS + g // 2) / GRIDS)}" for g in range(GRIDS)]
 
 
+def cell_columns(lat: np.ndarray, lng: np.ndarray, size: float = CELL) -> list[pa.Array]:
+    """The :func:`cells` of many points, one column for each grid."""
+    rounded, at = np.unique(np.rint(lat), return_inverse=True)
+    band = np.array([max(1e-3, math.cos(math.radians(x))) for x in rounded])[at] if len(lat) else lat
+    number = lambda x: pc.cast(pa.array(np.floor(x).astype(np.int64)), pa.string())
+    return [pc.binary_join_element_wise(str(g), number(lat / size + g / GRIDS), number(lng * band / size + (g * 2 % GRIDS + g // 2) / GRIDS), ":") for g in range(GRIDS)]
+
+
 def coarse(lat: float, lng: float) -> list[str]:
     """Wide cells in shifted grids, for points in no city; two points within NEAR_KM share one at least."""
     return cells(lat, lng, 0.2)
@@ -554,7 +617,7 @@ class Blocks:
         once = p**self.over + self.over * p ** (self.over - 1) * (1 - p)
         self.over_tables = math.ceil(math.log(1 - HIT) / math.log(1 - once))
         self.count = max([name_tables(self.width), self.over_tables])
-        self.blocks = blocks
+        self.blocks, self.crowded = blocks, bool((blocks > 1).any())
         self.witnesses = {(w, c): (a, b) for w, c, a, b in common}
         rng = np.random.default_rng(3)
         self.planes = rng.normal(size=(DIM, self.count * self.width)).astype(np.float32)
@@ -622,7 +685,7 @@ class Blocks:
                     more += [(i, int(k)) for k in mixed(4, h, around[i][shared[i]])]
             if lat is not None and lng is not None:
                 for g, cell in enumerate(cells(lat, lng)):
-                    k = int(self.blocks[crowd_bucket(cell)])
+                    k = int(self.blocks[crowd_bucket(cell)]) if self.crowded else 1
                     for c in [cell] if k == 1 else [f"{cell}|{x}" for x in block_pairs(side, d["nid"][i], k)]:
                         more.append((i, named_key(f"{c}|{place[i, g]}")))
             if street:

@@ -5,9 +5,11 @@ import datetime
 import math
 import random
 import re
+import sys
 import unicodedata
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -173,6 +175,103 @@ def test_all_records_are_walked_over(spark):
     assert not matching.step(many.where("false"), 1)[0].any()
 
 
+class Here:
+    """A table whose batches mapInArrow takes here, counting calls of functions."""
+
+    def __init__(self, batches):
+        self.batches, self.calls = batches, 0
+        self.sparkSession = self.sparkContext = self
+        self.defaultParallelism = 1
+
+    def select(self, *names):
+        return self
+
+    def coalesce(self, n):
+        return self
+
+    def mapInArrow(self, f, schema):
+        def count(frame, event, arg):
+            self.calls += event in ("call", "c_call")
+
+        sys.setprofile(count)
+        try:
+            self.batches = list(f(iter(self.batches)))
+        finally:
+            sys.setprofile(None)
+        return self
+
+    def collect(self):
+        return [tuple(r.values()) for b in self.batches for r in b.to_pylist()]
+
+
+def test_a_step_of_walks_takes_no_call_a_token(monkeypatch):
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choices("abcdefgh", k=6))
+    rows = [(f"{word()} {word()}", "castle", rng.uniform(36, 43), rng.uniform(-9, 3), word(), "lerma") for _ in range(6000)]
+    columns = [pa.array(list(c)) for c in zip(*rows)]
+    b = pa.RecordBatch.from_arrays(columns, names=["words", "class", "lat", "lng", "street", "city"])
+    whole = Here([b])
+    visits, mean = matching.step(whole, 1)
+    assert visits[matching.trigrams("castle")[0]] >= 6000
+    assert whole.calls < 5 * len(rows)
+    # Records of several batches, gathered or cut.
+    parts = [b.slice(lo, 1300) for lo in range(0, 6000, 1300)]
+    for size in (250_000, 40_000):
+        monkeypatch.setattr(matching.Walks, "BYTES", size)
+        n, other = matching.step(Here([*parts, b.slice(0, 0)]), 1)
+        assert (n == visits).all() and np.allclose(mean, other, atol=1e-5)
+
+
+def test_columns_of_tokens_agree_with_single_ones():
+    rng = np.random.default_rng(2)
+    tokens = ["a", "torre", "0:-3:12", "d'or", "", "peñón", "日本"]
+    for some in (tokens[:5], tokens, []):
+        g, n = matching.grams(some)
+        assert g.tolist() == [h for t in some for h in matching.trigrams(t)] and n.tolist() == [len(t) for t in some]
+    lat, lng = np.r_[rng.uniform(-90, 90, 300), 0.5, 1.5, -0.5, 90, -90], np.r_[rng.uniform(-180, 180, 300), 180, -180, 0, 1, 2]
+    assert list(zip(*(c.to_pylist() for c in matching.cell_columns(lat, lng)))) == [tuple(matching.cells(a, b)) for a, b in zip(lat.tolist(), lng.tolist())]
+    n = np.array([0, 3, 1, 200, 0, 64, 65])
+    x, at, w = rng.normal(size=(50, 4)), rng.integers(50, size=n.sum()), rng.uniform(size=n.sum())
+    ends = np.cumsum(n)
+    assert np.allclose(matching.run_sums(x, at, n), [x[at[e - k : e]].sum(axis=0) for e, k in zip(ends, n)])
+    assert np.allclose(matching.run_sums(x, at, n, w), [(x[at[e - k : e]] * w[e - k : e, None]).sum(axis=0) for e, k in zip(ends, n)])
+    nodes = matching.Nodes(matching.random_vectors(1), np.zeros(1 << matching.BITS), 9.0)
+    v = nodes.of(["torre vieja", "", "torre"])
+    own = [matching.random_vectors(1)[matching.trigrams(t)].sum(axis=0) for t in ("torre", "vieja")]
+    both = sum(x / np.sqrt(x @ x) for x in own)
+    assert np.allclose(v, [both / np.sqrt(both @ both), 0 * both, own[0] / np.sqrt(own[0] @ own[0])], atol=1e-5)
+
+
+def test_edits_agree_with_the_whole_table():
+    def whole(a, b):
+        d = [[i + j if not i * j else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
+        for i in range(1, len(a) + 1):
+            for j in range(1, len(b) + 1):
+                d[i][j] = min(d[i - 1][j] + 1, d[i][j - 1] + 1, d[i - 1][j - 1] + (a[i - 1] != b[j - 1]))
+                if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                    d[i][j] = min(d[i][j], d[i - 2][j - 2] + 1)
+        return d[-1][-1]
+
+    rng = random.Random(4)
+    for _ in range(5000):
+        a, b = ("".join(rng.choices("abc", k=rng.randrange(8))) for _ in range(2))
+        for most in (1, 2, 3):
+            assert matching.edits(a, b, most) == min(whole(a, b), most + 1)
+
+
+def test_a_point_is_in_the_nearest_city_that_reaches_it():
+    rng = random.Random(6)
+    places = tuple((f"c{k}", rng.uniform(-90, 90), rng.uniform(-180, 180), rng.choice((None, 5, 80, 900))) for k in range(200))
+    # At the date line a city reaches no further.
+    places = tuple(p for p in places if abs(p[2]) < 150 and abs(p[1]) < 80)
+    centers = matching.Centers(places, addresses.Parser([(p[0], None, None) for p in places]))
+    for _ in range(2000):
+        _, y, x, _ = rng.choice(places)
+        lat, lng = y + rng.uniform(-1, 1), x + rng.uniform(-1, 1)
+        near = [(km, c) for c, la, lo, r in places if (km := matching.distance(lat, lng, la, lo)) <= (r or 0)]
+        assert centers.of(lat, lng) == min(near, default=(0, ""))[1]
+
+
 def test_confidence_is_fit_on_all_pairs(spark):
     pairs = spark.range(24_000).selectExpr("id unit", "id kb", "0.5D + (id % 7) / 20D cosine", "0.4D + (id % 11) / 20D name", "1 kind", "-1D km", "0 city", "0 street", "if(id % 11 + id % 5 > 6, 1, -1) wd", "id < 5 same")
     r = pairs.toPandas()
@@ -187,6 +286,19 @@ def test_confidence_is_fit_on_all_pairs(spark):
 # 4: addresses
 
 
+def test_fold_drops_marks_of_all_scripts():
+    rng = random.Random(8)
+    for _ in range(3000):
+        t = "".join(rng.choices("abC 1Éñüºª°ßİﬁ①x\u0327\u0301日本Σ\t", k=rng.randrange(9)))
+        plain = unicodedata.normalize("NFKD", t.lower().replace("º", "o").replace("ª", "a").replace("°", "o"))
+        assert addresses.fold(t) == " ".join("".join(c for c in plain if not unicodedata.combining(c)).split())
+
+
+def test_the_longest_place_of_an_address_counts_then_the_last():
+    p = addresses.Parser([("Burgos", None, None), ("Villa Burgos Alta", None, None), ("Lerma", None, None), ("Villa Lerma", None, None)])
+    assert [p.parse(f"Calle Sol 3, {x}")[0] for x in ("Villa de Burgos Alta, Villa Lerma", "Villa Lerma, Burgos", "Burgos, Lerma", "Lerma Villa Burgos", "Villa")] == ["villa burgos alta", "villa lerma", "lerma", "burgos", ""]
+
+
 def parser():
     return addresses.Parser([("San Lucas", "Provincia de Alta", "12345"), ("Villa Real", "Alta", "23456")])
 
